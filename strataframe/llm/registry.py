@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import queries_text
+from strataframe.llm import queries_native, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-SQL = {**queries_text.SQL}
+QUERIES = {**queries_text.QUERIES, **queries_native.QUERIES}
+SQL = {**queries_text.SQL, **queries_native.SQL}
