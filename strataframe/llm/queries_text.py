@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import decontaminate, toxicity
+from strataframe.llm import decontaminate, licenses, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.label_lines(docs, model).select(
+        "doc_id", *[f.name for f in quality.BASE], quality.base_failed().alias("base_failed"), quality.kept().alias("kept"), "content_words", "n_lines"
+    )
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -56,5 +68,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op2_toxicity_ftrl": op2_toxicity_ftrl, "op10_benchmark_decontamination": op10_benchmark_decontamination}
+QUERIES = {
+    "op2_toxicity_ftrl": op2_toxicity_ftrl,
+    "op5_license_compression": op5_license_compression,
+    "op8_quality_crf": op8_quality_crf,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+}
 SQL = {"op10_benchmark_decontamination": OP10_SQL}
