@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm import substrings
+from strataframe.llm import substrings, suffixes
 from strataframe.llm.queries_text import table
 from strataframe.llm.spread import NO_ID
 
@@ -19,6 +19,11 @@ def op6_substring_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(docs, keep_text=False).select(own_id(), "n_words", "n_removed", "kept_sha256")
 
 
+def op9_suffix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove(docs, keep_bytes=False).select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -37,5 +42,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op6_substring_cover": op6_substring_cover}
+QUERIES = {"op6_substring_cover": op6_substring_cover, "op9_suffix_doubling": op9_suffix_doubling}
 SQL = {"op6_substring_cover": OP6_SQL}
