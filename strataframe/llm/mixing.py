@@ -115,7 +115,8 @@ def materialise(mixed: DataFrame, columns: list[str], text_col: str = "text") ->
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<long>")))
-    head = F.regexp_extract(F.col(text_col), F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_take").cast("string"), F.lit("})")), 1)
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), "")
     rows = mixed.withColumn("_whole", whole).withColumn("_part", part.cast("long")).withColumn("_take", F.explode(times))
     text = F.when(F.col("_take") < 0, F.col(text_col)).otherwise(head)
     return rows.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in columns])
