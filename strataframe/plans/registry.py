@@ -1,4 +1,6 @@
 """All registered queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from strataframe.plans import changes, fields, spaces  # noqa: F401  importing registers their queries
+from strataframe.plans.core import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
