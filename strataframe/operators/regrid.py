@@ -44,10 +44,10 @@ def bilinear_weights(targets: DataFrame, grid: DataFrame, keys: list[str], lon:
 
 def apply_weights(field: DataFrame, weights: DataFrame, target: list[str], source: list[str], values: list[str], over: list[str], whole: bool = True) -> DataFrame:
     """Weighted sums by (over, target). ``whole``: null unless all sources with weight are there; else a mean of those that are."""
-    w = weights.where("w > 0")
-    total = w.groupBy(*target).agg(F.sum("w").alias("_all"))
-    hit = field.join(w, source).groupBy(*over, *target).agg(
-        *[F.sum(F.col(v) * F.col("w")).alias(v) for v in values], *[F.sum(F.when(F.col(v).isNotNull(), F.col("w"))).alias(f"_w_{v}") for v in values]
+    w = weights.where("w > 0").withColumnRenamed("w", "_w")
+    total = w.groupBy(*target).agg(F.sum("_w").alias("_all"))
+    hit = field.select(*over, *source, *values).join(w, source).groupBy(*over, *target).agg(
+        *[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values], *[F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).alias(f"_w_{v}") for v in values]
     )
     hit = hit.join(total, target)
     return hit.select(*over, *target, *[(F.when(F.abs(F.col(f"_w_{v}") - F.col("_all")) < 1e-9, F.col(v)) if whole else F.col(v) / F.col(f"_w_{v}")).alias(v) for v in values])
