@@ -37,6 +37,8 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        # nothing refers to the written plan any more: let Spark's cleaner delete its shuffle files
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
