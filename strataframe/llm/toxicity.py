@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from strataframe.llm.rowwise import append_columns
 from strataframe.llm.tokens import ALNUM_RULE, chunks, distinct, mix, split_words
 
-MAX_ROWS = 8000
+MAX_ROWS = 12_000
 BITS = 20
 _SALT = [np.uint64(s) for s in (0x51ED270B9F0A1C35, 0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
 _BIAS = -1
@@ -59,7 +59,7 @@ def ftrl(examples, bits: int, alpha: float, beta: float, l1: float, l2: float, e
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    max_rows: int = MAX_ROWS, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = 10, min_count: int = 4,
+    max_rows: int = MAX_ROWS, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = 10, min_count: int = 8,
 ) -> DataFrame:
     """Weights as rows (feature, weight), feature -1 being the bias; at most ``2**bits + 1`` rows.
 
