@@ -95,6 +95,25 @@ def test_cells_beyond_the_block_size_lose_no_pair(spark, monkeypatch):
     assert {r.component_id for r in near.components(docs).collect()} == {0}
 
 
+def test_blocks_hold_every_pair_of_near_sizes():
+    families = [[100] * 4 + [400] * 3, [100] * 4 + [130], [100] * 4 + [200] * 4 + [400] * 4, [100] * 4 + [120] * 4 + [151] * 3, list(range(50, 90, 3))]
+    for sizes in families:
+        got = {(i, j) for own in near.blocks(np.array(sizes), 4) for i in own.tolist() for j in own.tolist() if i < j}
+        assert got >= {(i, j) for j in range(len(sizes)) for i in range(j) if 4 * sizes[j] <= 5 * sizes[i]}
+
+
+def test_blocks_between_jumps_in_size_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near, "MAX_CELL", 4)
+    rows, families = [], []
+    for f in range(12):  # in some, all prefix shingles of the four small sets are those of the three large ones
+        base, more = [f"a{f}x{j}" for j in range(40)], [f"b{f}x{j}" for j in range(12)]
+        for k in range(7):
+            rows.append((10 * f + k, " ".join(base + (more if k > 3 else []) + [f"z{f}x{k}"])))
+        families += [(10 * f, 4), (10 * f + 4, 3)]
+    got = [r.component_id for r in near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((c, got.count(c)) for c in set(got)) == families
+
+
 def brute_words(rows, window):
     docs = [(d if d is not None else spread.NO_ID, WORD.findall(t or "")) for d, t in rows]
     first = {}
