@@ -1,16 +1,19 @@
-"""License scans by conditional compression.
-
-Lines with license vocabulary are candidate blocks. Each is compressed by
-zstandard alone and with every template as raw dictionary; templates are ranked
-by the reduction. Winners are confirmed by their exact wording differences: the
-words inserted, deleted or replaced against the template, in a word-level
-alignment.
+"""License scans by word alignment and conditional compression.
+
+A text with license vocabulary is scanned whole, across line breaks: wherever a
+template can be at all, its words are aligned with the text's, and every stretch
+within the tolerance is a candidate with its exact wording differences (words
+inserted, deleted or replaced). Of overlapping candidates one stays; equal ones
+are ranked by how much smaller zstandard makes the stretch with the template as
+raw dictionary.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left, insort
+from collections import Counter
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import zstandard
@@ -37,8 +40,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
-#: A block must have one of these to be compressed at all.
-TRIGGER = re.compile(r"licen[cs]e|permission|redistribution|rights reserved|public domain|cc[ -]by", re.IGNORECASE)
+#: A text must have one of these to be scanned at all.
+TRIGGER = re.compile(r"licen[cs]e|permission|redistribution|rights[\W_]+reserved|public[\W_]+domain|cc[\W_]+by", re.IGNORECASE)
 
 HIT = T.StructType([
     T.StructField("line", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("reduction", T.DoubleType()),
@@ -51,66 +54,153 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def stretches(block: list[str], template: list[str], limit: int) -> list[tuple[int, int, int]]:
+    """(differences, start, end) of the best stretch of the block at every end, if it has ``limit`` differences or fewer.
+
+    A difference is a word of the template not in place, or a word of the
+    stretch that is not the template's. Of equal ones the longest is taken, which has the most words in place.
+    """
+    m, k = len(template), len(block) + 1
+    out, old = [], [i * k for i in range(m + 1)]  # differences * k + start
+    for end, word in enumerate(block, 1):
+        new = [end]
+        for i, w in enumerate(template):
+            best = min(new[i], old[i + 1]) + k
+            new.append(min(best, old[i]) if w == word else best)
+        if new[m] < (limit + 1) * k and new[m] < old[m] + k:  # else the word adds nothing
+            cost, start = divmod(new[m], k)
+            if start < end:
+                out.append((cost, start, end))
+        old = new
+    return out
+
+
+def split_differences(cost: int, length: int, m: int) -> tuple[int, int]:
+    """(missing, other) words of a stretch of ``length`` words against a template of ``m``."""
+    return (cost + m - length) // 2, (cost + length - m) // 2
+
+
 def differences(block: list[str], template: list[str]) -> tuple[int, int]:
     """(words of the template not in place, words of the block inside the aligned stretch that are not the template's)."""
-    match = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    same = sum(m.size for m in match)
-    stretch = match[-1].a + match[-1].size - match[0].a if match else 0
-    return len(template) - same, stretch - same
+    cost, start, end = min(stretches(block, template, len(template)), default=(len(template), 0, 0))
+    return split_differences(cost, end - start, len(template))
+
+
+class Template:
+    def __init__(self, name: str, text: str, tolerance: float):
+        self.name, self.words = name, words(text)
+        self.limit = int(tolerance * len(self.words))
+        self.reach = len(self.words) + self.limit  # no stretch within the limit is longer
+        self.counts = Counter(self.words)
+        self.packed = zstandard.ZstdCompressor(
+            level=3, write_content_size=False, write_checksum=False, write_dict_id=False,
+            dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+        )
+        # without any of these words more than ``limit`` are missing; long words and numbers are the rare ones
+        self.seeds, left = [], self.limit + 1
+        for w in sorted(self.counts, key=lambda w: (-len(w) - 8 * w[0].isdigit(), w)):
+            if left > 0:
+                self.seeds.append(w)
+                left -= self.counts[w]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], tolerance: float, tries: int):
-        plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.plain, self.tolerance, self.tries = plain, tolerance, tries
-        self.templates = [
-            (name, words(text), zstandard.ZstdCompressor(
-                level=3, write_content_size=False, write_checksum=False, write_dict_id=False,
-                dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            ))
-            for name, text in sorted(templates.items())
-        ]
-        self.known: dict[str, tuple | None] = {}
-
-    def block(self, text: str) -> tuple | None:
-        """(license, reduction, different, missing) of the best confirmed template."""
-        if text not in self.known:
+    """``tries`` is accepted for callers and no limit: every template that can be in a text is aligned."""
+
+    def __init__(self, templates: dict[str, str], tolerance: float, tries: int | None = None):
+        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+        self.templates = [Template(name, text, tolerance) for name, text in sorted(templates.items())]
+        self.reach = max((t.reach for t in self.templates), default=0)
+        self.seeds: dict[str, list[int]] = {}
+        for k, t in enumerate(self.templates):
+            for w in t.seeds:
+                self.seeds.setdefault(w, []).append(k)
+        self.known: dict[tuple, float] = {}
+
+    def reduction(self, text: str, k: int) -> float:
+        if (text, k) not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
-            self.known[text] = self._block(text)
-        return self.known[text]
-
-    def _block(self, text: str) -> tuple | None:
-        raw, own = text.lower().encode("utf-8", "surrogatepass"), words(text)
-        alone = len(self.plain.compress(raw))
-        ranked = sorted((-(alone - len(c.compress(raw))) / alone, name, w) for name, w, c in self.templates)
-        found = []
-        for less, name, template in ranked[: self.tries]:
-            missing, other = differences(own, template)
-            if missing + other <= self.tolerance * len(template):
-                found.append((missing + other, -len(template), less, name, missing, other))
-        if not found:
-            return None
-        _, _, less, name, missing, other = min(found)
-        return name, -less, other, missing
+            raw = text.encode("utf-8", "surrogatepass")
+            alone = len(self.plain.compress(raw))
+            self.known[text, k] = (alone - len(self.templates[k].packed.compress(raw))) / alone
+        return self.known[text, k]
+
+    def candidates(self, own: list[str], low: int, high: int):
+        """(template, differences, start, end) of the stretches inside own[low:high]."""
+        at: dict[int, list[int]] = {}
+        for p in range(low, high):
+            for k in self.seeds.get(own[p], ()):
+                at.setdefault(k, []).append(p)
+        for k, places in at.items():
+            t, regions = self.templates[k], []
+            for p in places:  # a stretch with this word is inside
+                a, b = max(low, p - t.reach + 1), min(high, p + t.reach)
+                if regions and a <= regions[-1][1]:
+                    regions[-1][1] = b
+                else:
+                    regions.append([a, b])
+            for a, b in regions:
+                have = Counter(own[a:b])
+                if sum(min(c, have[w]) for w, c in t.counts.items()) >= len(t.words) - t.limit:
+                    for cost, start, end in stretches(own[a:b], t.words, t.limit):
+                        yield k, cost, a + start, a + end
+
+    def hits(self, text: str) -> list[tuple]:
+        """(rank, start in the lowered text, license, reduction, different, missing) of the stretches that stay, in their order.
+
+        Fewest differences first, then the longer template, the larger
+        reduction, the name: each stays that overlaps none before it.
+        """
+        text = text.lower()
+        own = _WORD.findall(text)
+        if not any(w in self.seeds for w in own):
+            return []
+        heap, spans, taken, out = [], [], [], []
+
+        def add(low: int, high: int) -> None:
+            for k, cost, a, b in self.candidates(own, low, high):
+                if not spans:
+                    spans.extend(m.span() for m in _WORD.finditer(text))
+                less = self.reduction(text[spans[a][0] : spans[b - 1][1]], k)
+                heappush(heap, (cost, -len(self.templates[k].words), -less, self.templates[k].name, a, b))
+
+        add(0, len(own))
+        while heap:
+            cost, m, less, name, a, b = rank = heappop(heap)
+            at = bisect_left(taken, (a, a))
+            after = taken[at][0] if at < len(taken) else len(own)
+            if b > after or at and taken[at - 1][1] > a:
+                continue
+            insort(taken, (a, b))
+            missing, other = split_differences(cost, b - a, -m)
+            out.append((rank, spans[a][0], name, -less, other, missing))
+            add(b, min(after, b + self.reach))  # stretches that the best at their end had hidden
+        return sorted(out, key=lambda hit: hit[1])
+
+    def block(self, text: str) -> tuple | None:
+        """(license, reduction, different, missing) of the best confirmed stretch."""
+        found = self.hits(text) if TRIGGER.search(text) else []
+        return min(found)[2:] if found else None
 
     def text(self, text: str | None) -> list[dict]:
-        out = []
+        out, line, seen = [], 0, 0
         if text and TRIGGER.search(text):
-            for k, line in enumerate(text.split("\n")):
-                if TRIGGER.search(line) and (hit := self.block(line)):
-                    out.append({"line": k, "license": hit[0], "reduction": hit[1], "different_words": hit[2], "missing_words": hit[3]})
+            low = text.lower()
+            for _, start, name, less, other, missing in self.hits(text):
+                line, seen = line + low.count("\n", seen, start), start
+                out.append({"line": line, "license": name, "reduction": less, "different_words": other, "missing_words": missing})
         return out
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, tolerance: float = 0.2, tries: int = 5) -> DataFrame:
-    """``docs`` with ``license_hits``: line number from 0, license, size reduction, and the exact wording differences.
+    """``docs`` with ``license_hits``: line number (of the first word, from 0), license, size reduction, and the exact wording differences.
 
-    The ``tries`` templates with the largest reductions are aligned word by
-    word; of those within ``tolerance`` of the template's words the one with the
-    fewest differences wins (then the longer template, the larger reduction, the
-    name). Null and empty texts have no hits. An existing column of that name is
-    replaced.
+    A hit is a stretch of words, across line breaks, within ``tolerance`` of a
+    template's words; a text can have many. Of overlapping ones that with the
+    fewest differences stays (then the longer template, the larger reduction,
+    the name). ``tries`` no longer limits the templates. Null and empty texts
+    have no hits. An existing column of that name is replaced.
     """
     templates = templates or TEMPLATES
     state: dict = {}

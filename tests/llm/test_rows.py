@@ -1,5 +1,6 @@
 """Per-document operators, chat, mixing and sharding on rows with nulls, empty and long texts, repeats and clashing names."""
 
+import random
 import re
 import zlib
 
@@ -73,6 +74,20 @@ def test_license_wording_differences_are_exact():
     assert s.block("We talked about the license of a car and went home") is None
 
 
+def prose(n, r):
+    return " ".join(r.choice(["river", "stone", "the", "of", "walks", "under", "with", "this"]) + str(r.randrange(50)) * r.randrange(2) for _ in range(n))
+
+
+def license_hits(text):
+    return [(h["line"], h["license"], h["different_words"], h["missing_words"]) for h in licenses.Scanner(licenses.TEMPLATES, 0.2, 5).text(text)]
+
+
+def test_license_scan_aligns_every_template_in_long_lines():
+    r = random.Random(4)
+    for name, text in licenses.TEMPLATES.items():
+        assert license_hits(prose(3000, r) + " " + text + " " + prose(3000, r)) == [(0, name, 0, 0)]
+
+
 def test_quality_counts_and_model(spark, docs, none):
     good = "Here is a normal sentence with several different words number {}.\nAnd another line that follows it {}."
     bad = "BUY!! NOW!! {} *** $$$ ###\n| {} | x | y |"
