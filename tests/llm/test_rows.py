@@ -88,6 +88,18 @@ def test_license_scan_aligns_every_template_in_long_lines():
         assert license_hits(prose(3000, r) + " " + text + " " + prose(3000, r)) == [(0, name, 0, 0)]
 
 
+def test_license_scan_of_wrapped_edited_and_several_notices():
+    r = random.Random(4)
+    for name, text in licenses.TEMPLATES.items():
+        wrapped = "\n".join("# " + " ".join(text.split()[k : k + 5]) for k in range(0, len(text.split()), 5))
+        assert license_hits(f"{prose(9, r)}\n{prose(9, r)}\n{wrapped}\n{prose(9, r)}") == [(2, name, 0, 0)]
+    many = [n for n in licenses.TEMPLATES if n != "Apache-2.0"]
+    assert license_hits(" ".join(prose(20, r) + " " + licenses.TEMPLATES[n] for n in many)) == [(0, n, 0, 0) for n in many]
+    edited = "This software is licensed under the GNU General Public License version 3"
+    assert license_hits(prose(40, r) + " " + edited + " " + prose(40, r)) == [(0, "GPL-3.0", 1, 1)]
+    assert license_hits("All rights\nreserved.\nAll rights reserved") == [(0, "all-rights-reserved", 0, 0), (2, "all-rights-reserved", 0, 0)]
+
+
 def test_quality_counts_and_model(spark, docs, none):
     good = "Here is a normal sentence with several different words number {}.\nAnd another line that follows it {}."
     bad = "BUY!! NOW!! {} *** $$$ ###\n| {} | x | y |"
