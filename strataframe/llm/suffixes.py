@@ -10,9 +10,9 @@ Doubling: positions are grouped by pairs of ranks (rank of the next h bytes,
 rank of the h bytes after those) for h = 84, then h = 168. A rank is a
 fingerprint of the bytes, which names the class as a sorted number would. Whoever
 is alone with its pair is dropped; 336 bytes are common to all strings of an
-anchor, so then the threshold is passed, and what is left is decided exactly:
-anchors whose whole surroundings repeat are settled at once, and of the others
-every 400-byte string is compared by itself.
+anchor, so then the threshold is passed, and what is left is decided by
+64-bit fingerprints of whole strings: anchors whose whole surroundings repeat are
+settled at once, and of the others every 400-byte string is compared by itself.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[Dat
             if row and sum(map(len, row)):
                 row, pos = np.concatenate(row), np.concatenate(pos)
                 h = span_hashes(data, off[row] + pos, off[row] + pos + length)
-                p.add((h % np.uint64(n)).astype(np.int32), fp=h >> np.uint64(16), rk=rk[a + row], pos=pos.astype(np.uint32))
+                p.add((h % np.uint64(n)).astype(np.int32), fp=h, rk=rk[a + row], pos=pos.astype(np.uint32))  # decides: all 64 bits
         return blob_table(p)
 
     def twice(own):

@@ -185,3 +185,19 @@ def test_words_split_as_the_regular_expression_does():
             at, h = ngrams(w, 2)
             assert len(at) == sum(max(0, c - 1) for c in w.counts)
         assert got == [WORD.findall(t) for t in texts]
+
+
+def test_suffixes_decide_by_whole_fingerprints(spark, monkeypatch):
+    own = suffixes.span_hashes
+    length = suffixes.LENGTH
+
+    def alike(data, start, end, sums=None):  # strings of the full length differ in their low 16 bits only
+        h = own(data, start, end, sums)
+        return np.where(end - start == length, h & np.uint64(0xFFFF), h)
+
+    monkeypatch.setattr(suffixes, "span_hashes", alike)
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    shared = make(390)  # too short to be removed, long enough for its strings to be compared
+    docs = spark.createDataFrame([(k, make(300) + shared + make(300)) for k in range(2)], "doc_id long, text string")
+    assert [x.n_removed for x in suffixes.remove(docs).collect()] == [0, 0]
