@@ -142,3 +142,20 @@ def u3_difference_of_diagnostics(spark, sf):
     long = own.unpivot(["t", "run"], ["mean", "top", "spread"], "name", "v")
     both = joins.paired(long.where("run"), long.where("NOT run"), ["name", "t"], "v")
     return rounded(both.select("name", "t", (F.col("first") - F.col("second")).alias("v")), "v")
+
+
+@query("""SELECT t, round(v + sum(x * w), 4) AS volume FROM cells_xy, (SELECT sum(w) AS v FROM (SELECT avg(w) AS w FROM cells GROUP BY k, j, i)) GROUP BY t, v""")
+def e12_domain_volume(spark, sf):
+    """Volume of the domain with its free surface: the fixed cells' volume and the surface's height times area."""
+    fixed = V.cells(spark, sf).groupBy("k", "j", "i").agg(F.avg("w").alias("w")).agg(F.sum("w").alias("v"))
+    c = V.cells_xy(spark, sf).groupBy("t").agg(F.sum(F.col("x") * F.col("w")).alias("eta"))
+    return rounded(c.crossJoin(fixed).select("t", (F.col("v") + F.col("eta")).alias("volume")), "volume", n=4)
+
+
+@query("""SELECT c.t, c.j, c.i, round(n.x, 6) AS x FROM cells_xy c LEFT JOIN cells_xy n ON n.t = c.t AND n.i = c.i AND n.j = CASE c.j WHEN 0 THEN 1 WHEN 9 THEN 8 ELSE c.j END""")
+def j5_edges_from_neighbours(spark, sf):
+    """Values of the first and last row replaced by those of the rows beside them (missing where these are)."""
+    c = V.cells_xy(spark, sf)
+    source = F.when(F.col("j") == 0, 1).when(F.col("j") == 9, 8).otherwise(F.col("j"))
+    out = c.select("t", "j", "i", source.alias("_j")).join(c.select("t", F.col("j").alias("_j"), "i", "x"), ["t", "_j", "i"], "left")
+    return rounded(out.select("t", "j", "i", "x"), "x")
