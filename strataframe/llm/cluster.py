@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder named in spark.checkpoint.dir, which every machine must reach; without it there is no place to cut lineage."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not found and re.match(r"local(\[|$)", spark.sparkContext.master):
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")  # one machine only: its own disk is shared
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -41,6 +44,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return out
 
+    def bucketed(self, df: DataFrame, key: str, files: int) -> DataFrame:
+        """``df`` written in ``files`` buckets by ``key``: later groupings by it need no shuffle."""
+        name, path = f"scratch_{uuid.uuid4().hex}", f"{self.root}/{self.n}"
+        self.n += 1
+        df.repartition(files, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(files, key).saveAsTable(name)
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.table(name)
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:

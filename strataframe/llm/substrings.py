@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataframe.llm.cluster import Scratch
-from strataframe.llm.spread import BLOBS, Packer, answer, blob_table, groups, keyed, map_texts, reduce_buckets, with_texts
-from strataframe.llm.tokens import SPACE_RULE, chunks, covered, ngrams, split_words
+from strataframe.llm.spread import BLOBS, Packer, blob_table, exchange, keyed, map_texts, with_texts
+from strataframe.llm.tokens import SPACE_RULE, chunks, covered, ngrams, run_hashes, span_hashes, split_words
 
 WINDOW = 13
 #: Difference covers (period: offsets); every residue is a difference of two offsets.
@@ -46,48 +46,33 @@ def shared_windows(rows: DataFrame, n: int, scratch: Scratch, window: int) -> Da
             # anchors of texts too short for a window are of no use
             use = cover[pos % period] & (w.counts[row] >= window)
             row, h = row[use], h[use]
-            p.add((h % np.uint64(n)).astype(np.int32), fp=h >> np.uint64(16), id=ids[a + row], rk=rk[a + row], pos=pos[use].astype(np.uint32))
+            p.add((h % np.uint64(n)).astype(np.int64), fp=h >> np.uint64(16), id=ids[a + row], rk=rk[a + row], pos=pos[use].astype(np.uint32))
             yield
 
-    def meet(own):
-        order, start = groups(own["fp"])
-        ids = own["id"][order]
-        alive = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        at = order[np.repeat(alive, np.diff(np.append(start, len(order))))]
-        return answer(own["rk"][at], n, pos=own["pos"][at])
-
-    alive = scratch.cut(reduce_buckets(map_texts(rows, anchors, n, {"fp": 6}), meet))
+    alive = exchange(map_texts(rows, anchors, n, {"fp": 6}), n, lambda own, lo, hi, count: lo != hi, ("pos",), scratch)
 
     def extend(ids, rk, texts, found):
-        p = Packer(n)
+        p = Packer(n, split=True)
         for a, b, data, off in chunks(texts):
-            own = {r: found.get(rk[a + r]) for r in range(b - a)}
-            if not any(v is not None for v in own.values()):
+            own = {r: v for r in range(b - a) if (v := found.get(rk[a + r])) is not None}
+            if not own:
                 continue
             w = split_words(data, off, SPACE_RULE, lower=False)
             at, h = ngrams(w, window)
             near = np.zeros(len(w.start) + 1, bool)
             for r, v in own.items():
-                if v is not None:
-                    k = w.counts[r]
-                    first = np.maximum(v["pos"].astype(np.int64) - period + 1, 0)
-                    near[w.first[r] : w.first[r + 1]] = covered(k, first, np.minimum(v["pos"].astype(np.int64) + 1, k))
+                k = w.counts[r]
+                first = np.maximum(v["pos"].astype(np.int64) - period + 1, 0)
+                near[w.first[r] : w.first[r + 1]] = covered(k, first, np.minimum(v["pos"].astype(np.int64) + 1, k))
             use = near[at]
             at, h = at[use], h[use]
             row = np.searchsorted(w.first, at, "right") - 1
-            p.add((h % np.uint64(n)).astype(np.int32), fp=h, id=ids[a + row], rk=rk[a + row], pos=(at - w.first[row]).astype(np.uint32))
+            # what is removed is decided here: by 128 bits
+            second = run_hashes(span_hashes(data, w.start, w.end, family=1), at, window, family=1)
+            p.add((h % np.uint64(n)).astype(np.int64), fp=h, fp2=second, id=ids[a + row], rk=rk[a + row], pos=(at - w.first[row]).astype(np.uint32))
         return blob_table(p)
 
-    def earlier(own):
-        order, start = groups(own["fp"])
-        ids = own["id"][order]
-        least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(order))))
-        at = order[ids > least]
-        return answer(own["rk"][at], n, pos=own["pos"][at])
-
-    hits = scratch.cut(reduce_buckets(with_texts(rows, alive, extend, BLOBS), earlier))
-    scratch.drop(alive)
-    return hits
+    return exchange(with_texts(rows, alive, extend, BLOBS, n), n, lambda own, lo, hi, count: own > lo, ("pos",), scratch)
 
 
 def remove(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -100,7 +85,7 @@ def remove(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
     if not ``keep_text``).
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    rows, n = keyed(docs, id_col, text_col)
+    rows, n = keyed(docs, id_col, text_col, scratch)
     hits = shared_windows(rows, n, scratch, window)
 
     def finish(ids, rk, texts, found):
@@ -120,4 +105,4 @@ def remove(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
         names = ("id", "n_words", "n_removed", "kept_sha256", "kept_text")
         return pa.table([pa.array(ids), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], names=names)
 
-    return with_texts(rows, hits, finish, RESULT)
+    return with_texts(rows, hits, finish, RESULT, n)

@@ -1,18 +1,25 @@
-"""Suffix-array dedup of bytes: distributed prefix doubling over content-chosen suffixes.
+"""Suffix-array dedup of bytes: distributed prefix doubling over suffixes that start at content-chosen anchors.
 
 Ranks of all byte positions would be many times the text. The suffixes that
-are ranked start at minimiser anchors instead: of every 64 consecutive 8-grams
-the one with the least hash. Anchors depend on nearby bytes only, so equal
-400-byte strings have an anchor at the same offset, and every string belongs to
-exactly one: the first anchor 64 or more bytes after its start.
-
-Doubling: positions are grouped by pairs of ranks (rank of the next h bytes,
-rank of the h bytes after those) for h = 84, then h = 168. A rank is a
-fingerprint of the bytes, which names the class as a sorted number would. Whoever
-is alone with its pair is dropped; 336 bytes are common to all strings of an
-anchor, so then the threshold is passed, and what is left is decided by
-64-bit fingerprints of whole strings: anchors whose whole surroundings repeat are
-settled at once, and of the others every 400-byte string is compared by itself.
+are ranked start at minimiser anchors instead: of every ``reach`` consecutive
+8-grams the one with the least hash. Anchors depend on nearby bytes only, so
+equal 400-byte strings have the same anchors inside, and every string belongs
+to exactly one: the first anchor ``reach`` or more bytes after its start.
+
+Doubling runs over anchors instead of bytes. ``reach + 8`` bytes from an anchor
+fix where the next anchor is, so the rank of h anchors names the bytes from the
+first of them to ``reach + 8`` after the last. The first exchange names pairs of
+two anchors each, drops the suffixes that are alone and ranks the others in the
+order of their names. From then on every round is Spark's: the pair (rank of h
+anchors, rank of the h anchors after those) of each suffix is looked up, equal
+pairs are counted, those that repeat are sorted, and their place in the order
+is the rank of 2h anchors. Each anchor has a number m of anchors that all its
+strings have in common; once h passes half of m, two overlapping ranks name all
+m of them and the suffix is past the threshold.
+
+What is left has neighbours with the same core. 128-bit fingerprints of the
+bytes decide: anchors whose whole surroundings repeat are settled at once, and
+of the others every 400-byte string is compared by itself.
 """
 
 from __future__ import annotations
@@ -21,14 +28,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from strataframe.llm.cluster import Scratch
-from strataframe.llm.spread import BLOBS, Packer, answer, blob_table, groups, keyed, map_texts, reduce_buckets, with_texts
-from strataframe.llm.tokens import chunks, covered, mix, prefix_sums, span_hashes, text_buffers
+from strataframe.llm.spread import BLOBS, Packer, blob_table, exchange, keyed, map_texts, unpacked, with_texts
+from strataframe.llm.tokens import FAMILIES, chunks, covered, mix, prefix_sums, span_hashes, text_buffers
 
 LENGTH = 400
 GRAM = 8
+FIRST = 4  # anchors that the first exchange ranks; every string has at least as many
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -36,7 +45,7 @@ CERTAIN, SHIP = 1, 2
 
 
 def reach(length: int) -> int:
-    """Anchors are at most so far apart; an anchor's strings have length - 2 * reach + reach bytes in common."""
+    """Anchors are at most so far apart, and every string has at least ``FIRST`` of them in its core."""
     if length < 64:
         raise ValueError("length must be at least 64 bytes")
     return min(64, max(8, (length - 2 * GRAM) // 6))
@@ -65,107 +74,137 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
 
 
-def strings(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For every anchor with strings: (row, x, low, high); its strings start at x - t for low <= t <= high."""
-    width = reach(length)
-    a = anchors(data, off, width)
-    row = np.searchsorted(off, a, "right") - 1
-    begin, end = off[row], off[row + 1]
-    gap = np.full(len(a), width, np.int64)
-    if len(a):
-        same = row[1:] == row[:-1]
-        gap[1:][same] = np.minimum(width, (a[1:] - a[:-1])[same])
-    x = a - width
-    low, high = np.maximum(0, x + length - end), np.minimum(gap - 1, x - begin)
-    use = (x >= begin) & (low <= high)
-    return row[use], x[use], low[use], high[use]
+def bucket_of(fp: np.ndarray, n: int) -> np.ndarray:
+    """Buckets are ranges of fingerprints, so ranks within buckets are ranks overall."""
+    return ((fp >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+class Suffixes:
+    """The anchors of some rows: ``row``, ``at``, ``place`` (number within the row), ``m`` and the strings ``x - t`` for low <= t <= high."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, length: int):
+        width = reach(length)
+        self.at = a = anchors(data, off, width)
+        self.row = row = np.searchsorted(off, a, "right") - 1
+        self.first = np.searchsorted(row, np.arange(len(off)))
+        self.place = np.arange(len(a)) - self.first[row]
+        begin, end = off[row], off[row + 1]
+        gap = np.full(len(a), width, np.int64)
+        if len(a):
+            same = row[1:] == row[:-1]
+            gap[1:][same] = np.minimum(width, (a[1:] - a[:-1])[same])
+        self.x = a - width
+        self.low, self.high = np.maximum(0, self.x + length - end), np.minimum(gap - 1, self.x - begin)
+        self.has = (self.x >= begin) & (self.low <= self.high)
+        # bytes after the anchor that all its strings hold, less those the last anchor's own bytes need
+        core = length - 2 * width + 1 - (width + GRAM)
+        self.m = np.minimum(np.searchsorted(a, a + core, "right"), self.first[row + 1]) - np.arange(len(a))
+
+    def pairs(self, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, name of the pair of ranks of two anchors each) wherever FIRST anchors follow in the row."""
+        n = len(self.at) - FIRST + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        sums = prefix_sums(data)
+        two = span_hashes(data, self.at[:-1], np.minimum(self.at[1:] + reach(length) + GRAM, len(data)), sums)
+        ok = np.flatnonzero(self.row[:n] == self.row[FIRST - 1 :])
+        return ok, mix(two[ok] + two[ok + 2] * _MIXER)
+
+
+def double(alive: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rk, i, class): suffixes whose m anchors repeat, from (rk, i, m, rank), rank being that of FIRST anchors; m is 0 where a suffix only continues others.
+
+    ``class`` is the place of the m anchors in the sorted order of those that repeat.
+    """
+    h, finals = FIRST, None
+    while True:
+        doc = Window.partitionBy("rk").orderBy("i")
+        later = F.collect_list(F.struct("i", "rank")).over(doc.rangeBetween(0, h))
+        rank_at = lambda off: F.get(F.filter("later", lambda x: x["i"] == F.col("i") + off), 0)["rank"]  # noqa: E731, B023
+        wanted = F.max(F.when(F.col("m") >= 2 * h, F.col("i") + F.col("m"))).over(doc.rowsBetween(Window.unboundedPreceding, 0)) > F.col("i")
+        ends = (F.col("m") > 0) & (F.col("m") < 2 * h)
+        looked = scratch.cut(
+            alive.withColumns({"later": later, "wanted": F.coalesce(wanted, F.lit(False))}).where(ends | F.col("wanted"))
+            .select("rk", "i", "m", "rank", F.when(ends, rank_at(F.col("m") - h)).alias("last"), F.when(F.col("wanted"), rank_at(F.lit(h))).alias("next"))
+        )
+        past = looked.where("last IS NOT NULL").select("rk", "i", "m", "rank", F.col("last").alias("other"))
+        finals = past if finals is None else finals.unionByName(past)
+        pairs = looked.where("next IS NOT NULL").select("rk", "i", F.when(F.col("m") >= 2 * h, F.col("m")).otherwise(0).alias("m"), "rank", F.col("next").alias("other"))
+        if pairs.where("m > 0").isEmpty():
+            return ranked(finals, scratch, ["m", "rank", "other"]).select("rk", "i", F.col("place").alias("class"))
+        alive = ranked(pairs, scratch, ["rank", "other"]).select("rk", "i", "m", F.col("place").alias("rank"))
+        h *= 2
+
+
+def ranked(pairs: DataFrame, scratch: Scratch, key: list[str]) -> DataFrame:
+    """The rows whose key repeats, with ``place``, the key's place in the sorted order: keys are counted before they are
+    shuffled, sorted by ranges, and numbered, so a key of any number of rows is one row in the sort."""
+    often = pairs.groupBy(*key).count().where("count > 1").select(*key)
+    places = scratch.cut(often.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()))
+    return pairs.join(places, key)
 
 
 def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[DataFrame, DataFrame]:
-    """Two packed tables of (rk, pos, count, status); ``count`` strings from ``pos`` on are repeated where status has CERTAIN."""
-    core = length - reach(length)
-    half = core // 4
+    """Two tables of (rk, bucket, pos, count) of repeated strings: ``count`` of them from ``pos`` on."""
 
     def first_pairs(p: Packer, ids, rk, texts):
         for a, _, data, off in chunks(texts):
-            row, x, _, _ = strings(data, off, length)
-            sums = prefix_sums(data)
-            one, two = (span_hashes(data, x + k * half, x + (k + 1) * half, sums) for k in (0, 1))
-            p.add((one % np.uint64(n)).astype(np.int32), fp=one >> np.uint64(16), nxt=two, rk=rk[a + row], pos=(x - off[row]).astype(np.uint32))
+            s = Suffixes(data, off, length)
+            at, fp = s.pairs(data, length)
+            row = s.row[at]
+            p.add(bucket_of(fp, n), fp=fp, rk=rk[a + row], i=s.place[at].astype(np.uint32), m=np.where(s.has[at], np.minimum(s.m[at], 65535), 0).astype(np.uint16))
             yield
 
-    def not_alone(own):
-        order, start = groups(mix(own["fp"] + own["nxt"] * _MIXER))
-        size = np.diff(np.append(start, len(order)))
-        at = order[np.repeat(size > 1, size)]
-        return answer(own["rk"][at], n, pos=own["pos"][at])
-
-    alive = scratch.cut(reduce_buckets(map_texts(rows, first_pairs, n, {"fp": 6, "nxt": 4}), not_alone))
+    met = exchange(map_texts(rows, first_pairs, n), n, lambda own, lo, hi, count: count > 1, ("i", "m"), scratch, ranked=True)
+    alive = unpacked(met, "rk long, i long, m long, rank long", ["i", "m", "rank"])
+    classes = double(alive, scratch)
 
-    def next_pairs(ids, rk, texts, found):
-        p = Packer(n)
+    def surroundings(ids, rk, texts, found):
+        out = []
         for a, b, data, off in chunks(texts):
-            own = {r: v for r in range(b - a) if (v := found.get(rk[a + r])) is not None}
+            own = [(r, v) for r in range(b - a) if (v := found.get(rk[a + r])) is not None]
             if not own:
                 continue
-            row, x, low, high = strings(data, off, length)
-            live = np.concatenate([v["pos"].astype(np.int64) + off[r] for r, v in own.items()])
-            use = np.isin(x, live)
-            row, x, low, high = row[use], x[use], low[use], high[use]
-            sums = prefix_sums(data)
-            one, two = (span_hashes(data, x + k * 2 * half, x + (k + 1) * 2 * half if k == 0 else x + core, sums) for k in (0, 1))
-            pair = mix(one + two * _MIXER)
-            full = span_hashes(data, x - high, x - low + length, sums)
-            p.add(
-                (pair % np.uint64(n)).astype(np.int32), fp=pair, full=full, rk=rk[a + row],
-                pos=(x - high - off[row]).astype(np.uint32), count=(high - low + 1).astype(np.uint8),
+            s = Suffixes(data, off, length)
+            at = np.concatenate([s.first[r] + v["i"] for r, v in own])
+            names = [span_hashes(data, s.x[at] - s.high[at], s.x[at] - s.low[at] + length, family=f) for f in FAMILIES]
+            out.append(
+                [np.concatenate([v["class"] for _, v in own]), *(h.view(np.int64) for h in names), rk[a + s.row[at]], s.x[at] - s.high[at] - off[s.row[at]], s.high[at] - s.low[at] + 1]
             )
-        return blob_table(p)
-
-    def settle(own):
-        order, start = groups(own["fp"])
-        size = np.diff(np.append(start, len(order)))
-        at = order[np.repeat(size > 1, size)]
-        fp, full = own["fp"][at], own["full"][at]
-        inner, begin = groups(mix(fp + full * _MIXER))  # equal surroundings inside a class
-        copies = np.diff(np.append(begin, len(inner)))
-        status = np.zeros(len(at), np.uint8)
-        status[inner[np.repeat(copies > 1, copies)]] = CERTAIN
-        leader = inner[begin]  # one of each kind of surroundings meets the other kinds of its class
-        kinds, kind_start = groups(fp[leader])
-        n_kinds = np.diff(np.append(kind_start, len(kinds)))
-        status[leader[kinds[np.repeat(n_kinds > 1, n_kinds)]]] |= SHIP
-        at, status = at[status > 0], status[status > 0]
-        return answer(own["rk"][at], n, pos=own["pos"][at], count=own["count"][at], status=status)
-
-    settled = scratch.cut(reduce_buckets(with_texts(rows, alive, next_pairs, BLOBS), settle))
-    scratch.drop(alive)
+        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(6)]
+        return pa.table([pa.array(c) for c in cols], names=["class", "full", "full2", "rk", "pos", "count"])
+
+    by_doc = classes.withColumn("bucket", F.pmod("rk", F.lit(n)))
+    around = scratch.cut(with_texts(rows, by_doc, surroundings, "class long, full long, full2 long, rk long, pos long, count long", n, packed=False))
+    key = ["class", "full", "full2"]
+    kinds = scratch.cut(around.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk", "pos")).alias("leader")))
+    several = kinds.groupBy("class").count().where("count > 1").select("class", F.lit(True).alias("several"))
+    judged = around.join(kinds.where("copies > 1").select(*key, F.lit(CERTAIN).alias("sure")), key, "left")
+    certain = judged.where("sure IS NOT NULL").select("rk", "pos", "count", F.lit(CERTAIN).alias("status"))
+    # one of each kind of surroundings meets the other kinds of its class, string by string
+    ship = kinds.join(several, "class").select("leader.*").join(around.select("rk", "pos", "count"), ["rk", "pos"]).select("rk", "pos", "count", F.lit(SHIP).alias("status"))
+    settled = scratch.cut(certain.unionByName(ship).withColumn("bucket", F.pmod("rk", F.lit(n))))
 
     def single(ids, rk, texts, found):
-        p = Packer(n)
+        p = Packer(n, split=True)
         for a, b, data, off in chunks(texts):
             row, pos = [], []
             for r in range(b - a):
                 if (v := found.get(rk[a + r])) is not None:
-                    ship = (v["status"] & SHIP) > 0
-                    count = v["count"][ship].astype(np.int64)
-                    own = np.repeat(v["pos"][ship].astype(np.int64) - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    count = v["count"]
+                    own = np.repeat(v["pos"] - np.cumsum(count) + count, count) + np.arange(count.sum())
                     row.append(np.full(len(own), r))
                     pos.append(own)
-            if row and sum(map(len, row)):
+            if row:
                 row, pos = np.concatenate(row), np.concatenate(pos)
-                h = span_hashes(data, off[row] + pos, off[row] + pos + length)
-                p.add((h % np.uint64(n)).astype(np.int32), fp=h, rk=rk[a + row], pos=pos.astype(np.uint32))  # decides: all 64 bits
+                fp, fp2 = (span_hashes(data, off[row] + pos, off[row] + pos + length, family=f) for f in FAMILIES)
+                p.add(bucket_of(fp, n), fp=fp, fp2=fp2, rk=rk[a + row], pos=pos.astype(np.uint32))
         return blob_table(p)
 
-    def twice(own):
-        order, start = groups(own["fp"])
-        size = np.diff(np.append(start, len(order)))
-        at = order[np.repeat(size > 1, size)]
-        one = np.ones(len(at), np.uint8)
-        return answer(own["rk"][at], n, pos=own["pos"][at], count=one, status=one)
-
-    return settled, scratch.cut(reduce_buckets(with_texts(rows, settled, single, BLOBS), twice))
+    strings = with_texts(rows, settled.where(F.col("status") == SHIP), single, BLOBS, n, packed=False)
+    twice = exchange(strings, n, lambda own, lo, hi, count: count > 1, ("pos",), scratch)
+    alone = unpacked(twice, "rk long, pos long", ["pos"]).select("rk", "pos", F.lit(1).cast("long").alias("count"))
+    return settled.where(F.col("status") == CERTAIN).select("rk", "bucket", "pos", "count"), alone.select("rk", F.pmod("rk", F.lit(n)).alias("bucket"), "pos", "count")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
@@ -178,8 +217,8 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     with equal id and text are documents of their own.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    rows, n = keyed(docs, id_col, text_col)
-    settled, singles = repeats(rows, n, scratch, length)
+    rows, n = keyed(docs, id_col, text_col, scratch)
+    certain, singles = repeats(rows, n, scratch, length)
 
     def finish(ids, rk, texts, found):
         data, off = text_buffers(texts)
@@ -187,9 +226,7 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         for r in range(len(texts)):
             own, hit, removed, spans = data[off[r] : off[r + 1]], found.get(rk[r]), 0, 0
             if hit is not None:
-                sure = (hit["status"] & CERTAIN) > 0
-                pos = hit["pos"][sure].astype(np.int64)
-                gone = covered(len(own), pos, pos + hit["count"][sure] - 1 + length)
+                gone = covered(len(own), hit["pos"], hit["pos"] + hit["count"] - 1 + length)
                 removed = int(gone.sum())
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 own = own[~gone]
@@ -200,4 +237,4 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         names = ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
         return pa.table([pa.array(ids), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], names=names)
 
-    return with_texts(rows, settled.unionByName(singles), finish, RESULT)
+    return with_texts(rows, certain.unionByName(singles), finish, RESULT, n, packed=False)

@@ -15,11 +15,13 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20  # text bytes handled at once; a longer document is a chunk of its own
 
+#: Two families of hashes; both together name a string with 128 bits.
+FAMILIES = (0, 1)
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C13)  # odd and 3 mod 4
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
-_NGRAM = np.uint64(0xD6E8FEB86659FD93)
+_BYTE = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in FAMILIES]
+_BASE = [np.uint64(0x9E3779B97F4A7C13), np.uint64(0xC2B2AE3D27D4EB4B)]  # odd and 3 mod 4
+_BASE_INV = [np.uint64(pow(int(b), -1, 2**64)) for b in _BASE]
+_NGRAM = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 _codes = np.arange(256)
 #: Bytes of a word: everything but space and \t\n\v\f\r.
@@ -28,19 +30,20 @@ SPACE_RULE = ~((_codes == 32) | ((_codes >= 9) & (_codes <= 13)))
 ALNUM_RULE = ((_codes >= 48) & (_codes <= 57)) | ((_codes >= 97) & (_codes <= 122)) | (_codes >= 128)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
 
-_powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base and its inverse (mod 2**64) to the powers 0..n."""
-    if _powers["n"] < n:
-        n = max(n, CHUNK_BYTES + 1024)
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(n + 1, base, np.uint64)
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The family's base and its inverse (mod 2**64) to the powers 0..n."""
+    if family not in _powers or len(_powers[family][0]) <= n:
+        size = max(n, CHUNK_BYTES + 1024) + 1
+        pair = []
+        for base in (_BASE[family], _BASE_INV[family]):
+            p = np.full(size, base, np.uint64)
             p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
+            pair.append(np.multiply.accumulate(p))
+        _powers[family] = tuple(pair)
+    return _powers[family]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -120,18 +123,18 @@ def split_words(data: np.ndarray, off: np.ndarray, rule: np.ndarray, lower: bool
     return Words(data, start, end, first, h)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Sums S with ``span hash = (S[end] - S[start]) * base**-start``."""
-    up, _ = powers(len(data))
+    up, _ = powers(len(data), family)
     s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=s[1:])
+    np.cumsum(_BYTE[family][data] * up[: len(data)], out=s[1:])
     return s
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None, family: int = 0) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes."""
-    sums = prefix_sums(data) if sums is None else sums
-    _, down = powers(len(data))
+    sums = prefix_sums(data, family) if sums is None else sums
+    _, down = powers(len(data), family)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -142,7 +145,7 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = w.hashes[:m].copy()
     for j in range(1, n):
-        h *= _NGRAM
+        h *= _NGRAM[0]
         h += w.hashes[j : j + m]
     ok = np.ones(m, bool)
     # a run may not cross into the next row: drop the last n - 1 starts of every row
@@ -155,6 +158,14 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at] + np.uint64(n))
 
 
+def run_hashes(hashes: np.ndarray, at: np.ndarray, n: int, family: int = 0) -> np.ndarray:
+    """Hashes of the runs of n words that start at the given words, from the words' hashes of the family."""
+    h = hashes[at]
+    for j in range(1, n):
+        h = h * _NGRAM[family] + hashes[at + j]
+    return mix(h + np.uint64(n))
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """The sorted distinct values (by sort: faster here than np.unique's hash table)."""
     values = np.sort(values)

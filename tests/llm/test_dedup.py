@@ -191,9 +191,9 @@ def test_suffixes_decide_by_whole_fingerprints(spark, monkeypatch):
     own = suffixes.span_hashes
     length = suffixes.LENGTH
 
-    def alike(data, start, end, sums=None):  # strings of the full length differ in their low 16 bits only
-        h = own(data, start, end, sums)
-        return np.where(end - start == length, h & np.uint64(0xFFFF), h)
+    def alike(data, start, end, sums=None, family=0):  # strings of the full length differ in 16 bits of one family only
+        h = own(data, start, end, sums, family)
+        return np.where(end - start == length, h & np.uint64(0xFFFF if family == 1 else 0), h)
 
     monkeypatch.setattr(suffixes, "span_hashes", alike)
     r = random.Random(8)
@@ -201,3 +201,36 @@ def test_suffixes_decide_by_whole_fingerprints(spark, monkeypatch):
     shared = make(390)  # too short to be removed, long enough for its strings to be compared
     docs = spark.createDataFrame([(k, make(300) + shared + make(300)) for k in range(2)], "doc_id long, text string")
     assert [x.n_removed for x in suffixes.remove(docs).collect()] == [0, 0]
+
+
+def hot_corpus():
+    """A third and more of all rows share a passage, many are copies; names are drawn so that ids do not follow the order of rows."""
+    r = random.Random(11)
+    make = lambda n: " ".join(f"v{r.randrange(900)}" for _ in range(n))
+    passage, copy = make(70), make(90)
+    rows = [make(r.randint(5, 20)) + " " + passage + " " + make(r.randint(5, 20)) for _ in range(260)] + [copy] * 200 + [make(40) for _ in range(60)]
+    return [((k * 7919) % 1009, t) for k, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("bucket_bytes", [8 << 20, 30])
+def test_frequent_fingerprints_and_many_buckets(spark, monkeypatch, bucket_bytes):
+    rows = hot_corpus()
+    monkeypatch.setattr(spread, "BUCKET_BYTES", bucket_bytes)  # 30: more buckets than a task packs for
+    monkeypatch.setattr(spread, "FILES", 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert sum(len(t) for _, t in rows) // 30 > spread.COARSE
+    got = sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove(docs).collect())
+    assert got == brute_words(rows, 13)
+    got = sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(docs).collect())
+    assert got == brute_bytes(rows, 400)
+
+
+def test_frequent_fingerprints_are_held_back():
+    p = spread.Packer(4, split=True)
+    fp = np.concatenate([np.full(200, 7), np.arange(100, 150)]).astype(np.uint64)
+    p.add((fp % np.uint64(4)).astype(np.int64), fp=fp, rk=np.arange(250), pos=np.zeros(250, np.uint32))
+    rows = spread.blob_table(p)
+    kinds = rows.column("kind").to_pylist()
+    held = spread.items(rows.column("payload").filter(rows.column("kind").to_numpy() == spread.HELD))
+    told = spread.items(rows.column("payload").filter(rows.column("kind").to_numpy() == spread.SUMMARIES))
+    assert kinds.count(spread.HELD) == 1 and len(held["rk"]) == 200 and told["count"].tolist() == [200] and (told["lo"][0], told["hi"][0]) == (0, 199)
