@@ -308,6 +308,11 @@ class ByRow:
         order = np.argsort(self.rk, kind="stable")
         self.rk, self.cols = self.rk[order], {k: v[order] for k, v in own.items()}
 
+    def only(self, rk: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The row keys and texts that have items."""
+        have = np.isin(rk, self.rk)
+        return rk[have], texts.filter(pa.array(have))
+
     def get(self, rk: int) -> dict[str, np.ndarray] | None:
         a, b = np.searchsorted(self.rk, rk, "left"), np.searchsorted(self.rk, rk, "right")
         return {k: v[a:b] for k, v in self.cols.items()} if b > a else None

@@ -52,11 +52,11 @@ def shared_windows(rows: DataFrame, n: int, scratch: Scratch, window: int) -> Da
     alive = exchange(map_texts(rows, anchors, n, {"fp": 6}), n, lambda own, lo, hi, count: lo != hi, ("pos",), scratch)
 
     def extend(ids, rk, texts, found):
-        p = Packer(n, split=True)
+        p, ident = Packer(n, split=True), dict(zip(rk.tolist(), ids.tolist(), strict=True))
+        rk, texts = found.only(rk, texts)
+        ids = np.array([ident[k] for k in rk.tolist()], np.int64)
         for a, b, data, off in chunks(texts):
-            own = {r: v for r in range(b - a) if (v := found.get(rk[a + r])) is not None}
-            if not own:
-                continue
+            own = {r: found.get(rk[a + r]) for r in range(b - a)}
             w = split_words(data, off, SPACE_RULE, lower=False)
             at, h = ngrams(w, window)
             near = np.zeros(len(w.start) + 1, bool)

@@ -28,11 +28,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.llm.cluster import Scratch
-from strataframe.llm.spread import BLOBS, Packer, blob_table, exchange, keyed, map_texts, unpacked, with_texts
+from strataframe.llm.spread import BLOBS, Packer, blob_table, exchange, items, keyed, map_texts, refine, unpacked, with_texts
 from strataframe.llm.tokens import FAMILIES, chunks, covered, mix, prefix_sums, span_hashes, text_buffers
 
 LENGTH = 400
@@ -111,29 +111,60 @@ class Suffixes:
         return ok, mix(two[ok] + two[ok + 2] * _MIXER)
 
 
-def double(alive: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rk, i, class): suffixes whose m anchors repeat, from (rk, i, m, rank), rank being that of FIRST anchors; m is 0 where a suffix only continues others.
+LOOKED = "rk long, i long, m long, rank long, last long, next long"
+
+
+def look(rk: np.ndarray, i: np.ndarray, m: np.ndarray, rank: np.ndarray, h: int) -> pa.Table:
+    """The suffixes of some documents that still matter, with the ranks of h anchors that complete theirs (-1 for none).
+
+    ``last`` completes the m anchors of a suffix with h <= m < 2h, by overlap;
+    ``next`` is the rank h anchors on, for suffixes inside the m anchors of one with m >= 2h.
+    """
+    order = np.lexsort((i, rk))
+    rk, i, m, rank = (v[order] for v in (rk, i, m, rank))
+    doc = np.cumsum(np.append(0, rk[1:] != rk[:-1])) << 32 if len(rk) else rk
+    key = doc + i
+
+    def rank_at(off):
+        at = np.minimum(np.searchsorted(key, key + off), len(key) - 1)
+        return np.where(key[at] == key + off, rank[at], -1)
+
+    ends = (m > 0) & (m < 2 * h)
+    wanted = np.maximum.accumulate(doc + np.where(m >= 2 * h, i + m, 0)) > key
+    last, nxt = np.where(ends, rank_at(m - h), -1), np.where(wanted, rank_at(h), -1)
+    use = (last >= 0) | (nxt >= 0)
+    cols = (rk, i, np.where(ends | (m >= 2 * h), m, 0), rank, last, nxt)
+    return pa.table([pa.array(c[use]) for c in cols], names=["rk", "i", "m", "rank", "last", "next"])
+
+
+def _looker(h: int):
+    def rows(table):
+        return look(*(table.column(c).to_numpy() for c in ("rk", "i", "m", "rank")), h)
+
+    return rows
+
+
+def double(met: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(rk, i, class): suffixes whose m anchors repeat, from packed (rk, i, m, rank), rank being that of FIRST anchors; m is 0 where a suffix only continues others.
 
     ``class`` is the place of the m anchors in the sorted order of those that repeat.
     """
     h, finals = FIRST, None
+
+    def packed(table):
+        own = items(table.column("payload"))
+        return look(own["rk"], own["i"].astype(np.int64), own["m"].astype(np.int64), own["rank"], FIRST)
+
+    looked = scratch.cut(refine(met, n).groupBy("bucket").applyInArrow(packed, LOOKED))
     while True:
-        doc = Window.partitionBy("rk").orderBy("i")
-        later = F.collect_list(F.struct("i", "rank")).over(doc.rangeBetween(0, h))
-        rank_at = lambda off: F.get(F.filter("later", lambda x: x["i"] == F.col("i") + off), 0)["rank"]  # noqa: E731, B023
-        wanted = F.max(F.when(F.col("m") >= 2 * h, F.col("i") + F.col("m"))).over(doc.rowsBetween(Window.unboundedPreceding, 0)) > F.col("i")
-        ends = (F.col("m") > 0) & (F.col("m") < 2 * h)
-        looked = scratch.cut(
-            alive.withColumns({"later": later, "wanted": F.coalesce(wanted, F.lit(False))}).where(ends | F.col("wanted"))
-            .select("rk", "i", "m", "rank", F.when(ends, rank_at(F.col("m") - h)).alias("last"), F.when(F.col("wanted"), rank_at(F.lit(h))).alias("next"))
-        )
-        past = looked.where("last IS NOT NULL").select("rk", "i", "m", "rank", F.col("last").alias("other"))
+        past = looked.where("last >= 0").select("rk", "i", "m", "rank", F.col("last").alias("other"))
         finals = past if finals is None else finals.unionByName(past)
-        pairs = looked.where("next IS NOT NULL").select("rk", "i", F.when(F.col("m") >= 2 * h, F.col("m")).otherwise(0).alias("m"), "rank", F.col("next").alias("other"))
+        pairs = looked.where("next >= 0").select("rk", "i", F.when(F.col("m") >= 2 * h, F.col("m")).otherwise(0).alias("m"), "rank", F.col("next").alias("other"))
         if pairs.where("m > 0").isEmpty():
             return ranked(finals, scratch, ["m", "rank", "other"]).select("rk", "i", F.col("place").alias("class"))
-        alive = ranked(pairs, scratch, ["rank", "other"]).select("rk", "i", "m", F.col("place").alias("rank"))
+        alive = ranked(pairs, scratch, ["rank", "other"]).select(F.pmod("rk", F.lit(n)).alias("bucket"), "rk", "i", "m", F.col("place").alias("rank"))
         h *= 2
+        looked = scratch.cut(alive.groupBy("bucket").applyInArrow(_looker(h), LOOKED))
 
 
 def ranked(pairs: DataFrame, scratch: Scratch, key: list[str]) -> DataFrame:
@@ -156,15 +187,13 @@ def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[Dat
             yield
 
     met = exchange(map_texts(rows, first_pairs, n), n, lambda own, lo, hi, count: count > 1, ("i", "m"), scratch, ranked=True)
-    alive = unpacked(met, "rk long, i long, m long, rank long", ["i", "m", "rank"])
-    classes = double(alive, scratch)
+    classes = double(met, n, scratch)
 
     def surroundings(ids, rk, texts, found):
         out = []
+        rk, texts = found.only(rk, texts)
         for a, b, data, off in chunks(texts):
-            own = [(r, v) for r in range(b - a) if (v := found.get(rk[a + r])) is not None]
-            if not own:
-                continue
+            own = [(r, found.get(rk[a + r])) for r in range(b - a)]
             s = Suffixes(data, off, length)
             at = np.concatenate([s.first[r] + v["i"] for r, v in own])
             names = [span_hashes(data, s.x[at] - s.high[at], s.x[at] - s.low[at] + length, family=f) for f in FAMILIES]
@@ -187,18 +216,18 @@ def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[Dat
 
     def single(ids, rk, texts, found):
         p = Packer(n, split=True)
+        rk, texts = found.only(rk, texts)
         for a, b, data, off in chunks(texts):
             row, pos = [], []
             for r in range(b - a):
-                if (v := found.get(rk[a + r])) is not None:
-                    count = v["count"]
-                    own = np.repeat(v["pos"] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    row.append(np.full(len(own), r))
-                    pos.append(own)
-            if row:
-                row, pos = np.concatenate(row), np.concatenate(pos)
-                fp, fp2 = (span_hashes(data, off[row] + pos, off[row] + pos + length, family=f) for f in FAMILIES)
-                p.add(bucket_of(fp, n), fp=fp, fp2=fp2, rk=rk[a + row], pos=pos.astype(np.uint32))
+                v = found.get(rk[a + r])
+                count = v["count"]
+                own = np.repeat(v["pos"] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                row.append(np.full(len(own), r))
+                pos.append(own)
+            row, pos = np.concatenate(row), np.concatenate(pos)
+            fp, fp2 = (span_hashes(data, off[row] + pos, off[row] + pos + length, family=f) for f in FAMILIES)
+            p.add(bucket_of(fp, n), fp=fp, fp2=fp2, rk=rk[a + row], pos=pos.astype(np.uint32))
         return blob_table(p)
 
     strings = with_texts(rows, settled.where(F.col("status") == SHIP), single, BLOBS, n, packed=False)
