@@ -1,11 +1,12 @@
-"""License scans by word alignment and conditional compression.
-
-A text with license vocabulary is scanned whole, across line breaks: wherever a
-template can be at all, its words are aligned with the text's, and every stretch
-within the tolerance is a candidate with its exact wording differences (words
-inserted, deleted or replaced). Of overlapping candidates one stays; equal ones
-are ranked by how much smaller zstandard makes the stretch with the template as
-raw dictionary.
+"""License scans by conditional compression, confirmed by exact wording differences.
+
+A candidate block is a stretch of words, across line breaks, where a template
+can be at all: it has a word without which more of the template's words are
+missing than the tolerance allows, and enough of the others around it. Each
+block is compressed alone and with each of its templates as zstandard raw
+dictionary. Templates are ranked by the bytes saved; the winners - those near
+the greatest saving - are confirmed by their exact wording differences (words
+inserted, deleted or replaced), and the one with the fewest stays.
 """
 
 from __future__ import annotations
@@ -23,25 +24,46 @@ from pyspark.sql import types as T
 
 from strataframe.llm.rowwise import append_columns
 
-#: The usual short notices of public licenses.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+
+#: Texts of short public licenses, the headers that the long ones ask for, and the usual one-line notices.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "AGPL-3.0-header": _GNU.format("Affero ", "3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause": f"{_BSD_START} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD_START} {_BSD_NAMES} {_BSD_END}",
+    "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSL-1.0-header": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": _GNU.format("", "2"),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-header": _GNU.format("", "3"),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": _GNU.format("Lesser ", "3"),
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "MIT-text": f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_AS_IS}",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "all-rights-reserved": "All rights reserved.",
 }
 
-#: A text must have one of these to be scanned at all.
-TRIGGER = re.compile(r"licen[cs]e|permission|redistribution|rights[\W_]+reserved|public[\W_]+domain|cc[\W_]+by", re.IGNORECASE)
+#: Templates whose saving is at least this share of the greatest one are winners.
+WINNERS = 0.9
 
 HIT = T.StructType([
     T.StructField("line", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("reduction", T.DoubleType()),
@@ -92,10 +114,9 @@ class Template:
         self.limit = int(tolerance * len(self.words))
         self.reach = len(self.words) + self.limit  # no stretch within the limit is longer
         self.counts = Counter(self.words)
-        self.packed = zstandard.ZstdCompressor(
-            level=3, write_content_size=False, write_checksum=False, write_dict_id=False,
-            dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-        )
+        known = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=3)
+        self.packed = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=known)
         # without any of these words more than ``limit`` are missing; long words and numbers are the rare ones
         self.seeds, left = [], self.limit + 1
         for w in sorted(self.counts, key=lambda w: (-len(w) - 8 * w[0].isdigit(), w)):
@@ -105,9 +126,9 @@ class Template:
 
 
 class Scanner:
-    """``tries`` is accepted for callers and no limit: every template that can be in a text is aligned."""
+    """Every template that can be in a text is compressed with and aligned; ranking decides which of them stays."""
 
-    def __init__(self, templates: dict[str, str], tolerance: float, tries: int | None = None):
+    def __init__(self, templates: dict[str, str], tolerance: float):
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.templates = [Template(name, text, tolerance) for name, text in sorted(templates.items())]
         self.reach = max((t.reach for t in self.templates), default=0)
@@ -115,15 +136,16 @@ class Scanner:
         for k, t in enumerate(self.templates):
             for w in t.seeds:
                 self.seeds.setdefault(w, []).append(k)
-        self.known: dict[tuple, float] = {}
+        self.known: dict[tuple, tuple[int, int]] = {}
 
-    def reduction(self, text: str, k: int) -> float:
+    def saved(self, text: str, k: int) -> tuple[int, int]:
+        """(bytes saved with the template as dictionary, bytes without it) of the compressed block."""
         if (text, k) not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
             raw = text.encode("utf-8", "surrogatepass")
             alone = len(self.plain.compress(raw))
-            self.known[text, k] = (alone - len(self.templates[k].packed.compress(raw))) / alone
+            self.known[text, k] = (alone - len(self.templates[k].packed.compress(raw)), alone)
         return self.known[text, k]
 
     def candidates(self, own: list[str], low: int, high: int):
@@ -149,8 +171,9 @@ class Scanner:
     def hits(self, text: str) -> list[tuple]:
         """(rank, start in the lowered text, license, reduction, different, missing) of the stretches that stay, in their order.
 
-        Fewest differences first, then the longer template, the larger
-        reduction, the name: each stays that overlaps none before it.
+        The block with the greatest saving and the winners that overlap it:
+        the one with the fewest differences stays (then the longer template,
+        the greater saving, the name), and so on with what overlaps none that stays.
         """
         text = text.lower()
         own = _WORD.findall(text)
@@ -162,52 +185,63 @@ class Scanner:
             for k, cost, a, b in self.candidates(own, low, high):
                 if not spans:
                     spans.extend(m.span() for m in _WORD.finditer(text))
-                less = self.reduction(text[spans[a][0] : spans[b - 1][1]], k)
-                heappush(heap, (cost, -len(self.templates[k].words), -less, self.templates[k].name, a, b))
+                less, alone = self.saved(text[spans[a][0] : spans[b - 1][1]], k)
+                heappush(heap, (-less, cost, -len(self.templates[k].words), self.templates[k].name, a, b, alone))
+
+        def free(a: int, b: int) -> bool:
+            at = bisect_left(taken, (a, a))
+            return not (at < len(taken) and b > taken[at][0] or at and taken[at - 1][1] > a)
 
         add(0, len(own))
         while heap:
-            cost, m, less, name, a, b = rank = heappop(heap)
+            top = heappop(heap)
+            if not free(top[4], top[5]):
+                continue
+            aside, best = [], (top[1], top[2], top[0], *top[3:])
+            while heap and -heap[0][0] >= -top[0] * WINNERS:
+                other = heappop(heap)
+                aside.append(other)
+                if other[4] < top[5] and top[4] < other[5] and free(other[4], other[5]):
+                    best = min(best, (other[1], other[2], other[0], *other[3:]))
+            for other in [top, *aside]:
+                heappush(heap, other)
+            cost, m, less, name, a, b, alone = best
             at = bisect_left(taken, (a, a))
             after = taken[at][0] if at < len(taken) else len(own)
-            if b > after or at and taken[at - 1][1] > a:
-                continue
             insort(taken, (a, b))
             missing, other = split_differences(cost, b - a, -m)
-            out.append((rank, spans[a][0], name, -less, other, missing))
+            out.append(((less, cost, m, name), spans[a][0], name, -less / max(1, alone), other, missing))
             add(b, min(after, b + self.reach))  # stretches that the best at their end had hidden
         return sorted(out, key=lambda hit: hit[1])
 
     def block(self, text: str) -> tuple | None:
         """(license, reduction, different, missing) of the best confirmed stretch."""
-        found = self.hits(text) if TRIGGER.search(text) else []
+        found = self.hits(text)
         return min(found)[2:] if found else None
 
     def text(self, text: str | None) -> list[dict]:
         out, line, seen = [], 0, 0
-        if text and TRIGGER.search(text):
+        if text and (found := self.hits(text)):
             low = text.lower()
-            for _, start, name, less, other, missing in self.hits(text):
+            for _, start, name, less, other, missing in found:
                 line, seen = line + low.count("\n", seen, start), start
                 out.append({"line": line, "license": name, "reduction": less, "different_words": other, "missing_words": missing})
         return out
 
 
-def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, tolerance: float = 0.2, tries: int = 5) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, tolerance: float = 0.2) -> DataFrame:
     """``docs`` with ``license_hits``: line number (of the first word, from 0), license, size reduction, and the exact wording differences.
 
     A hit is a stretch of words, across line breaks, within ``tolerance`` of a
-    template's words; a text can have many. Of overlapping ones that with the
-    fewest differences stays (then the longer template, the larger reduction,
-    the name). ``tries`` no longer limits the templates. Null and empty texts
-    have no hits. An existing column of that name is replaced.
+    template's words; a text can have many, and of overlapping ones one stays.
+    Null and empty texts have no hits. An existing column of that name is replaced.
     """
     templates = templates or TEMPLATES
     state: dict = {}
 
     def fn(texts):
         if "s" not in state:
-            state["s"] = Scanner(templates, tolerance, tries)
+            state["s"] = Scanner(templates, tolerance)
         kinds = {"integer": pa.int32(), "string": pa.string(), "double": pa.float64()}
         kind = pa.list_(pa.struct([(f.name, kinds[f.dataType.typeName()]) for f in HIT.fields]))
         return [pa.array([state["s"].text(t.as_py()) for t in texts], kind)]
