@@ -1,10 +1,13 @@
 """Quality rules: base counts per document and a linear-chain CRF over its lines.
 
 A line with words is a position of the chain, labelled content or boilerplate
-by Viterbi decoding; the share of words in content lines decides. Weights are
-learnt from a bounded sample of documents with a quality label, every line
-taking its document's label (content where quality is 1). Features describe
-shape only: length, symbols, capitals, repetition, punctuation.
+by Viterbi decoding; the share of words in content lines decides. Only whole
+documents have labels, so the labels of lines are learnt along (``line_labels``):
+lines that many sampled documents share are boilerplate anywhere; the other
+lines of good documents are content, and those of bad documents start as
+boilerplate and become content where the model, fitted again and again, finds
+that they look like the lines of good ones. Features describe shape only:
+length, symbols, capitals, repetition, punctuation.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from strataframe.llm.rowwise import append_columns
 from strataframe.llm.tokens import SPACE_RULE, Words, chunks, mix, ngrams, span_hashes, split_words
 
 MAX_ROWS = 2000
+COMMON = 5  # sampled documents with a line that make it boilerplate
+ROUNDS = 3
 N_FEATURES = 22
 CONTENT = 1
 
@@ -76,7 +81,8 @@ class Lines:
         a, b = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
         has = b > a
         start, end, row, a, b = start[has], end[has], row[has], a[has], b[has]
-        _, dup = repeated(row, span_hashes(data, start, end))
+        self.hashes = span_hashes(data, start, end)
+        _, dup = repeated(row, self.hashes)
         self.n_dup_lines = np.bincount(row[dup], minlength=n)
         self.row, self.words, self.n = row, b - a, n
         self.first = np.searchsorted(row, np.arange(n + 1))
@@ -169,6 +175,41 @@ def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 60, rate:
     return w, tr
 
 
+def common_lines(first: np.ndarray, hashes: np.ndarray, least: int = COMMON) -> np.ndarray:
+    """Which lines stand between ``least`` or more different pairs of neighbours: a notice that unlike documents share, not a line of copies."""
+    edge = np.zeros(len(hashes) + 1, bool)
+    edge[first] = True  # a document starts or ends here
+    before, after = np.zeros_like(hashes), np.zeros_like(hashes)
+    before[1:], after[:-1] = hashes[:-1], hashes[1:]
+    before[edge[:-1]], after[edge[1:]] = 0, 0
+    context = mix(before + np.uint64(0x9E3779B97F4A7C15) * mix(after))
+    own = np.unique(np.stack([hashes, context]), axis=1)[0]
+    line, count = np.unique(own, return_counts=True)
+    return np.isin(hashes, line[count >= least])
+
+
+def line_labels(x: np.ndarray, good: np.ndarray, common: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, weights, transitions) from the lines' features, whether their documents are good, and whether they are common.
+
+    Every round fits the CRF and labels the lines of bad documents anew by
+    Viterbi decoding; of a bad document at least its least content-like line
+    stays boilerplate. The first fit knows no chain, so that a document's
+    label is not carried over to its lines by the transitions.
+    """
+    label = (good & ~common).astype(np.int64)
+    fixed = good | common
+    w, tr = fit(x, label, np.arange(len(x) + 1))
+    for _ in range(rounds):
+        u = x @ w
+        label = np.where(fixed, label, viterbi(u, tr, first)).astype(np.int64)
+        lean = u[:, CONTENT] - u[:, 1 - CONTENT]
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b > a and not good[a] and label[a:b].all():
+                label[a + int(np.argmin(lean[a:b]))] = 1 - CONTENT
+        w, tr = fit(x, label, first)
+    return label, w, tr
+
+
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -184,16 +225,19 @@ def train(
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.max("text").alias("text"))
 
     def run(batches):
-        xs, ys, sizes = [], [], []
+        xs, ys, sizes, hashes = [], [], [], []
         for batch in batches:
             y = np.array(batch.column(0).to_pylist(), np.int64)
             for a, b, data, off in chunks(batch.column(1)):
                 lines = Lines(data, off)
                 xs.append(lines.x)
-                ys.append((y[a:b] == 1).astype(np.int64)[lines.row])
+                ys.append((y[a:b] == 1)[lines.row])
                 sizes.append(np.diff(lines.first))
+                hashes.append(lines.hashes)
         if xs:
-            w, tr = fit(np.concatenate(xs).astype(np.float64), np.concatenate(ys), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+            first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            common = common_lines(first, np.concatenate(hashes))
+            _, w, tr = line_labels(np.concatenate(xs).astype(np.float64), np.concatenate(ys), common, first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w.ravel(), tr.ravel()]))], names=["w"])
 
     one = chosen.repartition(1).sortWithinPartitions(F.xxhash64("id", F.lit(1)), "id")  # bounded by max_rows
