@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against all document windows.
 
-The benchmark's distinct windows are cut into blocks of at most
-``MAX_WINDOWS``; each block is broadcast by itself, so what is broadcast has a
-fixed bound however large the benchmark is. One block, the usual case, is one
-pass over the documents without any shuffle.
+The benchmark's distinct pairs of a window and an item are cut into blocks of
+about ``MAX_WINDOWS``; each block is broadcast by itself, so what is broadcast
+has a fixed bound however large the benchmark is and however many items share a
+window. One block, the usual case, is one pass over the documents without any
+shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataframe.llm.cluster import Scratch
-from strataframe.llm.rowwise import append_columns
+from strataframe.llm.rowwise import append_columns, fresh
 from strataframe.llm.tokens import ALNUM_RULE, chunks, ngrams, split_words
 
 WINDOW = 13
@@ -31,7 +32,7 @@ FIELDS = [
 
 
 def windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
-    """Distinct (size, words, items) of the benchmark: n consecutive normalised words; a shorter item is one window."""
+    """Distinct (size, words, item) of the benchmark: n consecutive normalised words; a shorter item is one window."""
 
     def cut(batches):
         for batch in batches:
@@ -48,7 +49,7 @@ def windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text",
             )
 
     rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(cut, "item string, size int, words binary")
-    return rows.groupBy("size", "words").agg(F.collect_set("item").alias("items"))
+    return rows.distinct()
 
 
 def _matcher(block):
@@ -57,8 +58,10 @@ def _matcher(block):
 
     def load():
         exact = {}
-        for size, words, items in block.value:
-            exact[bytes(words)] = (size, items)
+        for size, words, item in block.value:
+            own = exact.setdefault(words, (size, []))[1]
+            if item is not None:
+                own.append(item)
         texts = pa.array([w.decode("utf-8", "surrogateescape").encode("utf-8", "surrogateescape") for w in exact], pa.binary()).cast(pa.large_binary())
         data = b"".join(t.as_py() for t in texts)
         off = np.concatenate([[0], np.cumsum([len(w) for w in exact])]).astype(np.int64)
@@ -143,15 +146,15 @@ def find(
     scratch = Scratch(spark, "bench")
     table = scratch.cut(windows(bench, item_col, bench_text_col, n))
     blocks = max(1, -(-table.count() // max_windows))
-    out = docs
+    out, more = docs, fresh(docs, *(f.name for f in FIELDS))
     for k in range(blocks):
-        part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
-        rows = [(r["size"], bytes(r["words"]), list(r["items"])) for r in part.collect()]  # bounded by max_windows
-        found = append_columns(out, [text_col], FIELDS if k == 0 else [T.StructField(f"_{f.name}", f.dataType) for f in FIELDS], _matcher(spark.sparkContext.broadcast(rows)))
+        part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k)
+        rows = [(r["size"], bytes(r["words"]), r["item"]) for r in part.collect()]  # bounded by max_windows
+        found = append_columns(out, [text_col], FIELDS if k == 0 else [T.StructField(m, f.dataType) for m, f in zip(more, FIELDS, strict=True)], _matcher(spark.sparkContext.broadcast(rows)))
         if k:
             found = found.withColumns({
-                "hit_spans": _merged(F.concat("hit_spans", "_hit_spans")), "hit_items": F.array_sort(F.array_union("hit_items", "_hit_items")),
-            }).drop(*(f"_{f.name}" for f in FIELDS))
+                "hit_spans": _merged(F.concat("hit_spans", more[1])), "hit_items": F.array_sort(F.array_union("hit_items", more[2])),
+            }).drop(*more)
         out = found if blocks == 1 else scratch.cut(found)
     return out
 
@@ -185,6 +188,7 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def drop_documents(docs: DataFrame, bench: DataFrame, percent: int = 5, **kw) -> DataFrame:
-    """``docs`` without contaminated rows, columns unchanged."""
-    out = find(docs.select("*", *[]), bench, **kw).where(~contaminated(percent))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without contaminated rows, columns unchanged whatever their names."""
+    inner = dict(zip([f.name for f in FIELDS], fresh(docs, *(f.name for f in FIELDS)), strict=True))
+    out = find(docs.withColumnsRenamed(inner), bench, **kw).where(~contaminated(percent))
+    return out.drop(*inner).withColumnsRenamed({v: k for k, v in inner.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

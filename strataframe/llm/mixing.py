@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.cluster import Scratch
 from strataframe.llm.ordering import bucket, bucket_bits, bucket_offsets, order_key
+from strataframe.llm.rowwise import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,37 +74,35 @@ def mix(docs: DataFrame, size: str | None = None, weights: tuple[int, ...] = (1,
     bits = bucket_bits(docs.count())
     measured = F.col(size).cast("long") if size else n_words(text_col)
     new = {"size", "source_size", "target", "taken"}
+    src, order, part, own, edge, left, whole = fresh(docs, "source", "order", "part", "own", "edge", "left", "whole")
+    keep = [c for c in docs.columns if c not in new]
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in new],
-        measured.alias("size"), F.col(source_col).cast("string").alias("_source"), order_key(seed, F.col(id_col)).alias("_order"),
-    ).withColumn("_bucket", bucket("_order", bits))
-    totals = scratch.cut(rows.groupBy(F.col("_source").alias("source"), "_bucket").agg(F.sum("size").alias("bucket_size")))
+        *[F.col(f"`{c}`") for c in keep], measured.alias("size"), F.col(source_col).cast("string").alias(src), order_key(seed, F.col(id_col)).alias(order)
+    ).withColumn(part, bucket(order, bits))
+    totals = scratch.cut(rows.groupBy(F.col(src).alias("source"), F.col(part).alias("_bucket")).agg(F.sum("size").alias("bucket_size")))
     sources = totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     filled = scratch.cut(fill(scratch.cut(cycle_weights(sources, scratch, weights)), max_epochs))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.greatest(F.round("target").cast("long") - F.col("whole") * F.col("source_size"), F.lit(0))
-    filled = filled.withColumn("whole", F.least(whole, F.lit(int(max_epochs)))).withColumn("rest", rest)
-    edge = (
-        bucket_offsets(totals.groupBy("source", "_bucket").agg(F.sum("bucket_size").alias("b")), ["source"], "b")
-        .join(filled.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s")))
-        .where((F.col("_offset") < F.col("rest")) & (F.col("rest") <= F.col("_offset") + F.col("b")))
-        .select(F.col("_s").alias("_edge_source"), F.col("_bucket").alias("_edge"), (F.col("rest") - F.col("_offset")).alias("_left"))
-    )
-    plan = filled.join(edge, F.col("source").eqNullSafe(F.col("_edge_source")), "left").select(
-        F.col("source").alias("_plan_source"), "source_size", "target", "whole", F.coalesce("_edge", F.lit(-1)).alias("_edge"), F.coalesce("_left", F.lit(0)).alias("_left")
-    )
-    dealt = rows.join(scratch.cut(plan), F.col("_source").eqNullSafe(F.col("_plan_source")))
-    sure = dealt.where(F.col("_bucket") != F.col("_edge")).withColumn(
-        "taken", F.col("whole") * F.col("size") + F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).otherwise(0)
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.greatest(F.round("target").cast("long") - F.col("times") * F.col("source_size"), F.lit(0))
+    filled = filled.withColumn("times", F.least(times, F.lit(int(max_epochs)))).withColumn("rest", rest)
+    cut = (
+        bucket_offsets(totals, ["source"], "bucket_size").join(filled.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
+        .where((F.col("_offset") < F.col("rest")) & (F.col("rest") <= F.col("_offset") + F.col("bucket_size")))
+        .select("s", F.col("_bucket").alias("cut"), (F.col("rest") - F.col("_offset")).alias("remains"))
+    )
+    plan = filled.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias(own), "source_size", "target", F.col("times").alias(whole), F.coalesce("cut", F.lit(-1)).alias(edge), F.coalesce("remains", F.lit(0)).alias(left)
     )
-    before = Window.partitionBy("_source", "_bucket").orderBy("_order", F.col(id_col), "size", F.crc32(F.col(text_col).cast("string")) if text_col in docs.columns else F.lit(0))
+    dealt = rows.join(scratch.cut(plan), F.col(src).eqNullSafe(F.col(own)))
+    sure = dealt.where(F.col(part) != F.col(edge)).withColumn("taken", F.col(whole) * F.col("size") + F.when(F.col(part) < F.col(edge), F.col("size")).otherwise(0))
+    crc = F.crc32(F.col(text_col).cast("string")) if text_col in docs.columns else F.lit(0)
+    before = Window.partitionBy(src, part).orderBy(order, F.col(id_col), "size", crc)
     ahead = F.coalesce(F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    split = dealt.where(F.col("_bucket") == F.col("_edge")).withColumn(
-        "taken", F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - ahead))
+    split = dealt.where(F.col(part) == F.col(edge)).withColumn(
+        "taken", F.col(whole) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col(left) - ahead))
     )
-    keep = [c for c in rows.columns if not c.startswith("_") or c in docs.columns]
     out = sure.unionByName(split)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def materialise(mixed: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -112,11 +111,11 @@ def materialise(mixed: DataFrame, columns: list[str], text_col: str = "text") ->
     A part keeps the first words with the white space before them. Documents
     that are not taken give no row; those without words are kept once.
     """
+    (take,) = fresh(mixed, "take")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<long>")))
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("long")
+    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    head = F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), "")
-    rows = mixed.withColumn("_whole", whole).withColumn("_part", part.cast("long")).withColumn("_take", F.explode(times))
-    text = F.when(F.col("_take") < 0, F.col(text_col)).otherwise(head)
-    return rows.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in columns])
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col(take).cast("int")), "")
+    text = F.when(F.col(take) < 0, F.col(text_col)).otherwise(head)
+    return mixed.withColumn(take, F.explode(times)).withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in columns])

@@ -26,3 +26,11 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(new), names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has, whatever the case."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]

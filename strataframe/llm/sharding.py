@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.cluster import Scratch
 from strataframe.llm.ordering import bucket, bucket_bits, bucket_offsets, order_key
+from strataframe.llm.rowwise import fresh
 
 
-def jump(key: Column, shards: int) -> Column:
-    """The shard (0 to shards - 1) of a key. A null key is a key of its own."""
+USUAL_JUMPS = 8
+
+
+def jumps(key: Column, shards: int) -> Column:
+    """(at, next): the last jump before ``shards`` and the one that passes it. A null key is a key of its own.
+
+    The number of jumps grows with the logarithm of the shards. Most keys end
+    within ``USUAL_JUMPS``; only the others go on, each jump going at least one
+    shard on.
+    """
     if shards < 1:
         raise ValueError("shards must be at least 1")
 
@@ -24,8 +33,22 @@ def jump(key: Column, shards: int) -> Column:
         return F.when(acc["next"] < shards, F.struct(acc["next"].alias("at"), nxt.alias("next"))).otherwise(acc)
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
-    # each jump goes at least one shard on, so `shards` of them pass the end
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda acc: acc["at"].cast("int"))
+    usual = F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, USUAL_JUMPS))), start, step)
+    if shards <= USUAL_JUMPS:
+        return usual
+    rest = lambda acc: F.aggregate(F.sequence(F.lit(USUAL_JUMPS + 1), F.lit(shards)), acc, step)
+    ended = lambda acc: F.when(acc["next"] >= shards, acc).otherwise(rest(acc))
+    return F.get(F.transform(F.array(usual), ended), 0)  # the fold is written once
+
+
+def jump(key: Column, shards: int) -> Column:
+    """The shard (0 to shards - 1) of a key."""
+    return jumps(key, shards)["at"].cast("int")
+
+
+def grown(state: Column, shards: int) -> Column:
+    """The shard of the same key with one shard more: a jump that lands on the new shard goes into it."""
+    return F.when(state["next"] == shards, F.lit(shards)).otherwise(state["at"]).cast("int")
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
@@ -42,17 +65,17 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     bits = bucket_bits(docs.count() // shards)
     new = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     key, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    size, crc, state, at, order, part, ahead, inside, own, own_part = fresh(docs, "size", "crc", "state", "at", "order", "part", "ahead", "inside", "own", "own_part")
     rows = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"),
-        jump(key, shards).alias("_shard"), jump(key, shards + 1).alias("_grown"), order_key(seed, key).alias("_order"),
-    ).withColumn("_bucket", bucket("_order", bits))
-    totals = bucket_offsets(rows.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")), ["_shard"], "_n")
-    offsets = scratch.cut(totals.select(F.col("_shard").alias("_s"), F.col("_bucket").alias("_b"), "_offset"))
-    inside = F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_order", key, "_crc", "_size"))
-    numbered = rows.withColumn("_inside", inside).join(offsets, (F.col("_shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+        (F.octet_length(text) + 8).cast("long").alias(size), F.crc32(text.cast("binary")).alias(crc), jumps(key, shards).alias(state), order_key(seed, key).alias(order),
+    ).withColumn(part, bucket(order, bits)).withColumn(at, F.col(state)["at"].cast("int"))
+    totals = rows.groupBy(F.col(at).alias("shard"), F.col(part).alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = scratch.cut(bucket_offsets(totals, ["shard"], "n").select(F.col("shard").alias(own), F.col("_bucket").alias(own_part), F.col("_offset").alias(ahead)))
+    place = F.row_number().over(Window.partitionBy(at, part).orderBy(order, key, crc, size))
+    numbered = rows.withColumn(inside, place).join(offsets, (F.col(at) == F.col(own)) & (F.col(part) == F.col(own_part)))
     return numbered.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in new],
-        F.col("_size").alias("size"), F.col("_crc").cast("long").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"),
-        (F.col("_offset") + F.col("_inside") - 1).cast("long").alias("slot"), F.col("_grown").alias("grown_shard"),
+        F.col(size).alias("size"), F.col(crc).cast("long").alias("text_crc32"), F.lit("key").alias("law"), F.col(at).alias("shard"),
+        (F.col(ahead) + F.col(inside) - 1).cast("long").alias("slot"), grown(F.col(state), shards).alias("grown_shard"),
     )
