@@ -55,15 +55,21 @@ def nearest_weighted(df: DataFrame, keys: list[str], value: str, k: int, radius:
     Cells meet within ``radius`` index steps; a cell without k valid ones in
     that circle stays null.
     """
-    steps = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if 0 < a * a + b * b <= radius * radius]
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a, b in steps]))
-    holes = df.where(F.col(value).isNull()).select(*keys, "j", "i").withColumn("_o", offsets)
-    holes = holes.withColumn("_j", F.col("j") + F.col("_o.dj")).withColumn("_i", F.col("i") + F.col("_o.di"))
-    holes = holes.withColumn("_d", F.sqrt((F.col("_o.dj") ** 2 + F.col("_o.di") ** 2).cast("double")))
     valid = df.where(F.col(value).isNotNull()).select(*keys, F.col("j").alias("_j"), F.col("i").alias("_i"), F.col(value).alias("_v"))
-    near = holes.join(valid, [*keys, "_j", "_i"]).withColumn("_r", F.rank().over(Window.partitionBy(*keys, "j", "i").orderBy("_d")))
-    got = near.where(F.col("_r") <= k).groupBy(*keys, "j", "i").agg((F.sum(F.col("_v") / F.col("_d")) / F.sum(1 / F.col("_d"))).alias("_fill"), F.count(F.lit(1)).alias("_n"))
-    return df.join(got.where(F.col("_n") >= k).drop("_n"), [*keys, "j", "i"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
+    holes, filled, ring = df.where(F.col(value).isNull()).select(*keys, "j", "i"), None, min(radius, 2)
+    while True:  # most holes end in the first ring; k cells within a ring are the nearest of all
+        steps = [(a, b) for a in range(-ring, ring + 1) for b in range(-ring, ring + 1) if 0 < a * a + b * b <= ring * ring]
+        offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a, b in steps]))
+        near = holes.withColumn("_o", offsets).withColumns({"_j": F.col("j") + F.col("_o.dj"), "_i": F.col("i") + F.col("_o.di")})
+        near = near.withColumn("_d", F.sqrt((F.col("_o.dj") ** 2 + F.col("_o.di") ** 2).cast("double"))).join(valid, [*keys, "_j", "_i"])
+        near = near.withColumn("_r", F.rank().over(Window.partitionBy(*keys, "j", "i").orderBy("_d"))).where(F.col("_r") <= k)
+        got = near.groupBy(*keys, "j", "i").agg((F.sum(F.col("_v") / F.col("_d")) / F.sum(1 / F.col("_d"))).alias("_fill"), F.count(F.lit(1)).alias("_n"))
+        got = got.where(F.col("_n") >= k).drop("_n")
+        filled = got if filled is None else filled.unionByName(got)
+        if ring == radius:
+            break
+        holes, ring = holes.join(got, [*keys, "j", "i"], "left_anti"), min(radius, 2 * ring)
+    return df.join(filled, [*keys, "j", "i"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 
 def components(mask: DataFrame, n_i: int, cut: Callable[[DataFrame], DataFrame], axes: tuple[str, ...] = ("j", "i")) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,31 +24,60 @@ def common_last(df: DataFrame, run: str, time: str = "t") -> DataFrame:
     return own.join(F.broadcast(least), F.col("_step") == F.col("_least")).drop("_step", "_least")
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame, width: float = 30.0) -> DataFrame:
-    """(points, j, i): the nearest grid column in degrees, of equals the one with the least (j, i).
+def _by_rings(points: DataFrame, targets: DataFrame, width: float, distance: Column, best: Column, bound: Callable[[float], Column], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(points, _best, _d): ``best`` over the targets (``_lon``, ``_lat``) around each point, and the least distance.
 
-    Points and columns meet by tiles of ``width`` degrees and the tiles around;
-    a point without a column in those is compared with all, in a second pass.
+    Both sides meet by tiles of ``width`` degrees. A point whose nearest target
+    among the tiles of a ring is no farther than ``bound``, the least distance
+    to anything outside, is done; the others go on with a ring twice as wide.
     """
-    tile = lambda c: F.floor(F.col(c) / width).cast("int")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    at = lambda c: F.floor(F.col(c) / width).cast("int")
+    span = targets.agg(*[f(at(c)) for c in ("_lon", "_lat") for f in (F.min, F.max)]).crossJoin(points.agg(*[f(at(c)) for c in ("lon", "lat") for f in (F.min, F.max)])).first()
+    if None in span:
+        return points.limit(0).withColumn("_best", F.lit(None)).withColumn("_d", F.lit(None).cast("double"))
+    reach = max(span[1], span[5]) - min(span[0], span[4]), max(span[3], span[7]) - min(span[2], span[6])
+    tiles, rest, done, ring = targets.withColumns({"_tx": at("_lon"), "_ty": at("_lat")}), points, None, 1
+    while True:
+        x, y = (min(ring, r) for r in reach)
+        steps = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in range(-x, x + 1) for b in range(-y, y + 1)]))
+        near = rest.withColumn("_s", steps).withColumns({"_tx": at("lon") + F.col("_s.x"), "_ty": at("lat") + F.col("_s.y")}).join(tiles, ["_tx", "_ty"])
+        found = near.groupBy(*points.columns).agg(best.alias("_best"), F.min(distance).alias("_d"))
+        last = ring >= max(reach)
+        own = found if last else found.where(F.col("_d") <= bound(ring * width))
+        own = cut(own)
+        done = own if done is None else done.unionByName(own)
+        if last:
+            return done
+        rest = cut(rest.join(own.select(*points.columns), points.columns, "left_anti"))
+        if rest.isEmpty():
+            return done
+        ring *= 2
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame, cut: Callable[[DataFrame], DataFrame], width: float = 30.0) -> DataFrame:
+    """(points, j, i): the nearest grid column in degrees, of equals the one with the least (j, i)."""
     g = grid.select("j", "i", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    near = points.withColumn("_s", steps).withColumn("_tx", tile("lon") + F.col("_s.x")).withColumn("_ty", tile("lat") + F.col("_s.y"))
-    tiles = g.withColumn("_tx", tile("_lon")).withColumn("_ty", tile("_lat"))
     d = F.hypot(F.col("lon") - F.col("_lon"), F.col("lat") - F.col("_lat"))
-    pick = lambda rows: rows.groupBy(*points.columns).agg(F.min_by(F.struct("j", "i"), F.struct(d.alias("d"), "j", "i")).alias("_b"), F.min(d).alias("_d"))
-    found = pick(near.join(tiles, ["_tx", "_ty"])).where(F.col("_d") <= width)  # nothing outside the tiles can be nearer
-    rest = points.join(found.select(*points.columns), points.columns, "left_anti")
-    both = found.unionByName(pick(rest.join(g)))
-    return both.select(*points.columns, F.col("_b.j").alias("j"), F.col("_b.i").alias("i"))
+    best = F.min_by(F.struct("j", "i"), F.struct(d.alias("d"), "j", "i"))
+    out = _by_rings(points, g, width, d, best, lambda degrees: F.lit(degrees), cut)
+    return out.select(*points.columns, F.col("_best.j").alias("j"), F.col("_best.i").alias("i"))
 
 
-def distance_to_set(points: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, distance): kilometres to the nearest of the targets (a dimension table)."""
+def distance_to_set(points: DataFrame, targets: DataFrame, keys: list[str], cut: Callable[[DataFrame], DataFrame], width: float = 10.0) -> DataFrame:
+    """(keys, distance): kilometres to the nearest of the targets, as the flat distance has it (longitudes do not wrap)."""
     from strataframe.functions.expr import flat_distance
 
+    own = points.select(*keys, "lon", "lat").distinct()
     t = targets.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    return points.join(t).groupBy(*keys).agg((F.min(flat_distance("lon", "lat", "_lon", "_lat")) / 1000).alias("distance"))
+    d = flat_distance("lon", "lat", "_lon", "_lat")
+
+    def bound(degrees: float) -> Column:
+        # outside the ring a target is off by ``degrees`` of latitude, or of longitude within a mean latitude near the point's
+        pole = F.least(F.abs(F.col("lat")) + degrees / 2, F.lit(90.0))
+        return F.least(flat_distance(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(degrees)), flat_distance(F.lit(0.0), pole, F.lit(degrees), pole))
+
+    out = _by_rings(own, t, width, d, F.min(d), bound, cut)
+    return out.groupBy(*keys).agg((F.min("_d") / 1000).alias("distance"))
 
 
 def level_of(df: DataFrame, levels: DataFrame, depth: str, edge: str = "top") -> DataFrame:

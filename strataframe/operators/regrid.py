@@ -10,28 +10,31 @@ def bracket(targets: DataFrame, axis: DataFrame, target: str, coord: str, index:
     """(targets, index, w): one or two axis points around each target; an exact hit has weight 1.
 
     ``axis`` (index, coord) is a dimension table. With ``period`` the axis
-    wraps; without, targets outside get no row.
+    wraps; without, targets outside get no row. Segments of the axis and
+    targets meet by equal bins of the axis, as many as it has points.
     """
     pts = axis.select(F.col(index).cast("int").alias("_i"), F.col(coord).cast("double").alias("_c"))
     w = Window.orderBy("_c")  # an axis is small: one row per index
     seg = pts.withColumn("_i2", F.lead("_i").over(w)).withColumn("_c2", F.lead("_c").over(w))
+    ends = pts.agg(F.min_by("_i", "_c").alias("_fi"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.count(F.lit(1)).alias("_n"))  # one row
+    far = F.lit(float(period)) if period is not None else F.col("_hi") - F.col("_lo")
+    ends = F.broadcast(ends.withColumn("_bin", F.greatest(far / F.col("_n"), F.lit(1e-12))))
+    bin_of = lambda c: F.floor((c - F.col("_lo")) / F.col("_bin"))
     if period is not None:
-        first = pts.agg(F.min_by("_i", "_c").alias("_fi"), F.min("_c").alias("_fc"))
-        seg = seg.join(F.broadcast(first)).withColumn("_i2", F.coalesce("_i2", "_fi")).withColumn("_c2", F.coalesce("_c2", F.col("_fc") + period)).drop("_fi", "_fc")
+        seg = seg.join(ends.select("_fi", "_lo")).withColumn("_i2", F.coalesce("_i2", "_fi")).withColumn("_c2", F.coalesce("_c2", F.col("_lo") + period)).drop("_fi", "_lo")
     seg = seg.withColumn("_hit", F.lit(False)).unionByName(pts.select("_i", "_c", F.col("_i").alias("_i2"), F.col("_c").alias("_c2"), F.lit(True).alias("_hit")))
+    seg = seg.where("_c2 IS NOT NULL").join(ends.select("_lo", "_bin")).withColumn("_at", F.explode(F.sequence(bin_of(F.col("_c")), bin_of(F.col("_c2"))))).drop("_lo", "_bin")
     x = F.col(target).cast("double")
     if period is not None:
-        low = pts.agg(F.min("_c").alias("_lo"))
-        targets = targets.join(F.broadcast(low)).withColumn("_x", F.col("_lo") + F.pmod(x - F.col("_lo"), F.lit(float(period)))).drop("_lo")
-    else:
-        targets = targets.withColumn("_x", x)
+        x = F.col("_lo") + F.pmod(x - F.col("_lo"), F.lit(float(period)))
+    keep = targets.columns
+    own = targets.join(ends.select("_lo", "_bin")).withColumn("_x", x).withColumn("_at", bin_of(F.col("_x")))
     inside = (F.col("_hit") & (F.col("_x") == F.col("_c"))) | (~F.col("_hit") & (F.col("_x") > F.col("_c")) & (F.col("_x") < F.col("_c2")))
-    hit = targets.join(F.broadcast(seg), inside)
+    hit = own.join(seg, "_at").where(inside)
     right = (F.col("_x") - F.col("_c")) / (F.col("_c2") - F.col("_c"))
     pair = F.when(F.col("_hit"), F.array(F.struct(F.col("_i").alias("i"), F.lit(1.0).alias("w")))).otherwise(
         F.array(F.struct(F.col("_i").alias("i"), (1 - right).alias("w")), F.struct(F.col("_i2").alias("i"), right.alias("w")))
     )
-    keep = [c for c in targets.columns if c != "_x"]
     return hit.select(*keep, F.explode(pair).alias("_p")).select(*keep, F.col("_p.i").alias(index), F.col("_p.w").alias("w"))
 
 

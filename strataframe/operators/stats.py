@@ -97,11 +97,16 @@ def divergence_time(df: DataFrame, keys: list[str], value: str, year: str, first
 
 
 def best_lag(df: DataFrame, keys: list[str], step: str, driver: str, response: str, most: int = 24) -> DataFrame:
-    """(keys, lag, r): the lag >= 0 by which the driver leads with the greatest correlation; the least of equals."""
-    lags = df.select(*keys, step, driver).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_to", F.col(step) + F.col("lag"))
-    r = df.select(*keys, F.col(step).alias("_to"), response)
-    c = lags.join(r, [*keys, "_to"]).groupBy(*keys, "lag").agg(F.corr(driver, response).alias("r"), F.count(F.lit(1)).alias("_n")).where("r IS NOT NULL AND _n > 2")
-    return c.groupBy(*keys).agg(F.max_by(F.struct("lag", "r"), F.struct("r", (-F.col("lag")).alias("l"))).alias("_b")).select(*keys, F.col("_b.lag").alias("lag"), F.col("_b.r").alias("r"))
+    """(keys, lag, r): the lag >= 0 by which the driver leads with the greatest correlation; the least of equals.
+
+    The responses of all lags stand beside the driver by one window (exact steps), so no row is copied per lag.
+    """
+    order, lags = Window.partitionBy(*keys).orderBy(step), range(most + 1)
+    own = df.select(*keys, step, driver, *[F.max(response).over(order.rangeBetween(n, n)).alias(f"_r{n}") for n in lags])
+    r = own.groupBy(*keys).agg(*[f(F.col(driver), F.col(f"_r{n}")).alias(f"_{name}{n}") for n in lags for name, f in (("c", F.corr), ("n", F.regr_count))])
+    each = [F.struct(F.when(F.col(f"_n{n}") > 2, F.col(f"_c{n}")).alias("r"), F.lit(-n).alias("l")) for n in lags]
+    best = F.array_max(F.filter(F.array(*each), lambda x: x["r"].isNotNull() & ~F.isnan(x["r"])))
+    return r.select(*keys, best.alias("_b")).where("_b IS NOT NULL").select(*keys, (-F.col("_b.l")).alias("lag"), F.col("_b.r").alias("r"))
 
 
 def standardised_by_month(df: DataFrame, keys: list[str], value: str, time: str = "t") -> DataFrame:

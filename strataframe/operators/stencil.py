@@ -66,6 +66,16 @@ def running_integral(df: DataFrame, value: str, keys: list[str], axis: str, spac
     return df.withColumn(out, F.sum(F.col(value) * step).over(w))
 
 
+def running_total(df: DataFrame, value: str, order: str, block: Column, out: str = "total") -> DataFrame:
+    """Running sum over all rows in order of ``order``, in two levels: totals of blocks (ascending with ``order``), then inside each."""
+    own = df.withColumn("_block", block)
+    blocks = own.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one small row per block
+    before = blocks.select(F.col("_block"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("_inside", inside).join(before, "_block").withColumn(out, F.col("_inside") + F.col("_before")).drop("_block", "_inside", "_before")
+
+
 def moving_average(df: DataFrame, value: str, keys: list[str], order: str, window: int, out: str = "smooth") -> DataFrame:
     """Centred mean over ``window`` rows; rows without a full window are dropped.
 
@@ -136,19 +146,28 @@ def to_face(df: DataFrame, value: str, keys: list[str], axis: str, n: int | None
 def smooth(df: DataFrame, value: str, keys: list[str], axis: str, n: int, sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing along one index axis of length ``n``, reflecting at the ends; missing cells do not count.
 
-    Every cell adds to the few cells its kernel reaches, so this is a join with
-    a kernel table of fixed length and one aggregate.
+    The sources of a cell, and those that the ends reflect to it, lie within
+    the kernel's reach of it: one window over a range of the axis, no row is copied.
     """
     import math
 
     r = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
-    kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x / sum(raw)).alias("g")) for d, x in zip(range(-r, r + 1), raw, strict=True)])
-    spread = df.where(F.col(value).isNotNull()).withColumn("_k", F.explode(kernel))
-    source = F.pmod(F.col(axis) + F.col("_k.d"), F.lit(2 * n))  # reflected: d c b a | a b c d | d c b a
-    spread = spread.withColumn("_to", F.when(source >= n, 2 * n - 1 - source).otherwise(source).cast("int"))
-    out = spread.groupBy(*keys, F.col("_to").alias(axis)).agg((F.sum(F.col(value) * F.col("_k.g")) / F.sum("_k.g")).alias(value))
-    return out.join(df.where(F.col(value).isNotNull()).select(*keys, axis), [*keys, axis], "left_semi")
+    whole = sum(math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1))
+    gauss = lambda d: F.when(F.abs(d) <= r, F.exp(-0.5 * (d / sigma) * (d / sigma)) / whole).otherwise(0.0)
+    turns = range(-((r + 2 * n) // (2 * n)), (r + 2 * n) // (2 * n) + 1)  # reflected: d c b a | a b c d | d c b a
+
+    def weight(source):
+        here = [source + 2 * n * m - F.col(axis) for m in turns] + [2 * n * m - 1 - source - F.col(axis) for m in turns]
+        return sum((gauss(d) for d in here[1:]), gauss(here[0]))
+
+    def add(acc, x):
+        g = weight(x["at"])
+        return F.struct((acc["a"] + x["v"] * g).alias("a"), (acc["b"] + g).alias("b"))
+
+    near = Window.partitionBy(*keys).orderBy(axis).rangeBetween(-r, r)
+    own = df.where(F.col(value).isNotNull()).withColumn("_near", F.collect_list(F.struct(F.col(axis).alias("at"), F.col(value).cast("double").alias("v"))).over(near))
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    return own.select(*keys, axis, F.aggregate("_near", start, add, lambda acc: acc["a"] / acc["b"]).alias(value))
 
 
 def wrap_columns(df: DataFrame, n: int, axis: str = "i", lon: str | None = None) -> DataFrame:

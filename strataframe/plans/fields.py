@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataframe.functions import expr as X
 from strataframe.operators import agg, columns, joins, regions
 from strataframe.plans.core import query, rounded
+from strataframe.plans.cuts import cutter
 from strataframe.sources import views as V
 
 # ---------------------------------------------------------------- scans
@@ -243,7 +244,7 @@ FROM (SELECT c_custkey, CAST(c_custkey * 7 % 360 - 179.75 AS DOUBLE) AS lon, CAS
 def d4_nearest_cell(spark, sf):
     """Nearest grid column of a point for every customer."""
     p = V.table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 7 % 360 - 179.75).cast("double").alias("lon"), (-79.75 + F.col("c_custkey") % 17).cast("double").alias("lat"))
-    return joins.nearest_cell(p, V.grid_xy(spark, sf)).select("c_custkey", "j", "i")
+    return joins.nearest_cell(p, V.grid_xy(spark, sf), cutter(spark)).select("c_custkey", "j", "i")
 
 
 @query("SELECT p_partkey, k FROM part LEFT JOIN levels ON -7.0 * p_size <= z_top AND -7.0 * p_size > z_bot")
@@ -263,7 +264,7 @@ def d6_against_observations(spark, sf):
 FROM grid a, grid b WHERE b.is_land AND NOT a.is_land GROUP BY 1, 2""")
 def d7_distance_to_land(spark, sf):
     g = V.grid_xy(spark, sf)
-    return rounded(joins.distance_to_set(g.where("NOT is_land"), g.where("is_land"), ["j", "i"]), "distance", n=4)
+    return rounded(joins.distance_to_set(g.where("NOT is_land"), g.where("is_land"), ["j", "i"], cutter(spark)), "distance", n=4)
 
 
 @query("""SELECT a.member, a.t, round(a.v, 6) AS first, round(b.v, 6) AS second FROM series a JOIN series b USING (member, t) WHERE a.expt = 'BUILDING' AND b.expt = 'FURNITURE'""")

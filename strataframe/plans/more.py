@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataframe.functions import constants as K
 from strataframe.functions import expr as X
 from strataframe.operators import agg, binning, boundary, calendar, columns, fill, joins, regions, regrid, stats, stencil
-from strataframe.plans.changes import _DAYS, _S, _STEP, monthly
+from strataframe.plans.changes import _DAYS, _S, _STEP, P_VALUES, monthly
 from strataframe.plans.core import query, rounded
 from strataframe.plans.cuts import cutter
 from strataframe.sources import views as V
@@ -231,12 +231,15 @@ def h12_detrend(spark, sf):
     return rounded(own.select(*_S, "t", (F.col("v") - F.coalesce(past, ahead)).alias("detrended")), "detrended")
 
 
-@query("""SELECT t, round(a, 4) AS inflow, round(b, 4) AS outflow, round(sum(a - b) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS volume FROM (SELECT t, sum(x * w) FILTER (i = 0) / 1e3 AS a, sum(x * w) FILTER (i = 19) / 1e3 AS b FROM cells GROUP BY t)""")
+@query(""", f AS (SELECT t, i, CAST(round(x * w, 6) AS DECIMAL(20, 6)) AS f FROM cells WHERE i IN (0, 19)), b AS (SELECT t, coalesce(sum(f) FILTER (i = 0), 0) AS a, coalesce(sum(f) FILTER (i = 19), 0) AS b FROM f GROUP BY t)
+SELECT t, CAST(a AS DOUBLE) / 1e3 AS inflow, CAST(b AS DOUBLE) / 1e3 AS outflow, CAST(sum(a - b) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e3 AS volume FROM b""")
 def h14_volume_budget(spark, sf):
-    """Fluxes by boundary and their running difference (one short series)."""
-    at = lambda i: F.sum(F.when(F.col("i") == i, F.col("x") * F.col("w"))) / 1e3
-    s = V.cells(spark, sf).groupBy("t").agg(at(0).alias("inflow"), at(19).alias("outflow")).withColumn("one", F.lit(1)).withColumn("d", F.col("inflow") - F.col("outflow"))
-    return rounded(stencil.running_integral(s, "d", ["one"], "t", out="volume").select("t", "inflow", "outflow", "volume"), "inflow", "outflow", "volume", n=4)
+    """Fluxes by boundary and their running difference. Fluxes are fixed decimals, so sums do not depend on their order."""
+    flux = F.round(F.col("x") * F.col("w"), 6).cast("decimal(20,6)")
+    at = lambda i: F.coalesce(F.sum(F.when(F.col("i") == i, flux)), F.lit(0).cast("decimal(20,6)"))
+    s = V.cells(spark, sf).where("i IN (0, 19)").groupBy("t").agg(at(0).alias("a"), at(19).alias("b")).withColumn("d", F.col("a") - F.col("b"))
+    out = stencil.running_total(s, "d", "t", F.year("t"), "volume")
+    return out.select("t", *[(F.col(c).cast("double") / 1e3).alias(n) for c, n in (("a", "inflow"), ("b", "outflow"), ("volume", "volume"))])
 
 
 # ---------------------------------------------------------------- regridding, filling
@@ -301,7 +304,8 @@ def m18_period_density(spark, sf):
     return rounded(agg.over(d, ["k", "period"], "rho", "w"), "rho")
 
 
-@query(None)
+@query(f""", {P_VALUES}, o AS (SELECT expt, CASE WHEN p < 0.05 THEN slope ELSE 0.0 END AS s FROM p)
+SELECT expt, round(avg(s), 6) + 0.0 AS mean, round(stddev_pop(s), 6) + 0.0 AS std, count(*) AS n FROM o GROUP BY expt""")
 def m19_significant_trends(spark, sf):
     """Mean and spread of member trends, those without significance counting as 0."""
     t = stats.trend(monthly(spark, sf), _S, "v", "step").withColumn("p", stats.two_sided_p("t", "dof"))
@@ -327,7 +331,7 @@ def p1_offsets(spark, sf):
 @query("""SELECT j, i, round(CASE WHEN d >= 1500 THEN 0 ELSE 0.5 + 0.5 * cos(d * pi() / 1500) END, 6) AS taper FROM (SELECT a.j, a.i, min(sqrt(pow(6.371e6 * cos(radians((a.lat + b.lat) / 2)) * radians(b.lon - a.lon), 2) + pow(6.371e6 * radians(b.lat - a.lat), 2))) / 1000 AS d FROM grid a, grid b WHERE b.is_land GROUP BY 1, 2)""")
 def p4_coastal_taper(spark, sf):
     g = V.grid_xy(spark, sf)
-    d = joins.distance_to_set(g, g.where("is_land"), ["j", "i"])
+    d = joins.distance_to_set(g, g.where("is_land"), ["j", "i"], cutter(spark))
     return rounded(d.select("j", "i", boundary.taper("distance", 1500.0).alias("taper")), "taper")
 
 
