@@ -104,6 +104,24 @@ def density_linear(salt, temp, rho0: float = K.RHO_SEA, t0: float = -1.0, s0: fl
     return rho0 * (1 - alpha * (_c(temp) - t0) + beta * (_c(salt) - s0))
 
 
+def density_jmd95(temp, salt, press) -> Column:
+    """kg/m3 from potential temperature, salinity and pressure in dbar: density at the surface over one less pressure by bulk modulus."""
+    t, s, p = _c(temp), _c(salt), _c(press) / 10  # bar
+    root = s * F.sqrt(s)
+    surface = _poly(K.JMD95_FRESH, t) + s * _poly(K.JMD95_SALT, t) + root * _poly(K.JMD95_SALT_ROOT, t) + s * s * K.JMD95_SALT_SQUARE
+    bulk = _poly(K.JMD95_BULK_FRESH, t) + s * _poly(K.JMD95_BULK_SALT, t) + root * _poly(K.JMD95_BULK_SALT_ROOT, t)
+    bulk = bulk + p * (_poly(K.JMD95_BULK_PRESS, t) + s * _poly(K.JMD95_BULK_PRESS_SALT, t) + root * K.JMD95_BULK_PRESS_SALT_ROOT)
+    bulk = bulk + p * p * (_poly(K.JMD95_BULK_PRESS2, t) + s * _poly(K.JMD95_BULK_PRESS2_SALT, t))
+    return surface / (1 - p / bulk)
+
+
+def density_mdjwf(temp, salt, press) -> Column:
+    """kg/m3 from potential temperature, salinity and pressure in dbar, as a ratio of two polynomials."""
+    t, s, p = _c(temp), _c(salt), _c(press)
+    total = lambda terms: sum((c * F.pow(t, F.lit(a)) * F.pow(s, F.lit(b)) * F.pow(p, F.lit(d)) for c, a, b, d in terms[1:]), F.lit(terms[0][0]))
+    return total(K.MDJWF_ABOVE) / total(K.MDJWF_BELOW)
+
+
 def heat_content_freezing(temp, salt, z, volume, **eos) -> Column:
     """Joules above the freezing point, with the linear equation of state."""
     return (_c(temp) - freezing_point(salt, z)) * density_linear(salt, temp, **eos) * K.HEAT_SEA * _c(volume)

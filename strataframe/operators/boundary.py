@@ -131,3 +131,27 @@ def dig(grid: DataFrame, least: float, bathy: str = "bathy", draft: str = "draft
         own = own.withColumn(name, at_offset(draft, [other], axis, d))
     lowest = F.least(draft, *[F.coalesce(s, F.lit(0.0)) for s in ("_w", "_e", "_s", "_n")])
     return own.withColumn(bathy, F.when(lowest < 0, F.least(F.col(bathy), lowest - least)).otherwise(F.col(bathy))).drop("_w", "_e", "_s", "_n")
+
+
+def model_surface(grid: DataFrame, levels: DataFrame, surface: str, least: float = 0.1, least_dz: float = 20.0) -> DataFrame:
+    """``grid`` with ``surface`` (a sea floor) as partial cells can hold it.
+
+    In its level the open part below a minimum is closed or opened to the
+    minimum, whichever is nearer; what lies below all levels ends at the last.
+    """
+    at = grid.join(levels.select("z_top", "z_bot", "dz"), (F.col(surface) < F.col("z_top")) & (F.col(surface) >= F.col("z_bot")), "left")
+    floor = levels.agg(F.min("z_bot").alias("_floor"))  # one row
+    limit = F.greatest(F.lit(least), F.least(least_dz / F.col("dz"), F.lit(1.0)))
+    part = (F.col("z_top") - F.col(surface)) / F.col("dz")
+    kept = F.when(part < limit / 2, 0.0).when(part < limit, limit).otherwise(part)
+    out = F.when(F.col("z_top").isNotNull(), F.col("z_top") - kept * F.col("dz")).otherwise(F.greatest(F.col(surface), F.col("_floor")))
+    return at.join(F.broadcast(floor)).withColumn(surface, out).select(*grid.columns)
+
+
+def repair(grid: DataFrame, water: float, ice: float) -> DataFrame:
+    """Isolated bottoms raised, columns dug, thin ice thickened, in this order: ``grid`` with the old surfaces in ``bathy_before`` and
+    ``draft_before`` and which step changed a column in ``raised``, ``dug`` and ``thickened``."""
+    own = fill_isolated(grid.withColumns({"bathy_before": F.col("bathy"), "draft_before": F.col("draft")}))
+    own = dig(own.withColumn("raised", F.col("bathy") != F.col("bathy_before")).withColumn("_b", F.col("bathy")), water)
+    own = zap_thin(own.withColumn("dug", F.col("bathy") != F.col("_b")).drop("_b"), ice, grow=True)
+    return own.withColumn("thickened", F.col("draft") != F.col("draft_before"))

@@ -72,6 +72,19 @@ def nearest_weighted(df: DataFrame, keys: list[str], value: str, k: int, radius:
     return df.join(filled, [*keys, "j", "i"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 
+def along(df: DataFrame, keys: list[str], value: str, axis: str) -> DataFrame:
+    """Null values take the last valid one before them along an axis, else the first one after."""
+    w = Window.partitionBy(*keys).orderBy(axis)
+    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn(value, F.coalesce(before, after))
+
+
+def whole(df: DataFrame, value: str) -> DataFrame:
+    """``df``, where a null value fails the job: nothing may be missing here."""
+    return df.withColumn(value, F.when(F.col(value).isNull(), F.raise_error(F.lit(f"{value} is missing"))).otherwise(F.col(value)))
+
+
 def components(mask: DataFrame, n_i: int, cut: Callable[[DataFrame], DataFrame], axes: tuple[str, ...] = ("j", "i")) -> DataFrame:
     """``mask`` (one row per wet cell) with ``component``: the least cell number of its connected cells.
 

@@ -63,6 +63,15 @@ def nearest_cell(points: DataFrame, grid: DataFrame, cut: Callable[[DataFrame],
     return out.select(*points.columns, F.col("_best.j").alias("j"), F.col("_best.i").alias("i"))
 
 
+def nearest_value(points: DataFrame, scattered: DataFrame, value: str, ident: str, cut: Callable[[DataFrame], DataFrame], width: float = 15.0) -> DataFrame:
+    """(points, value): that of the nearest scattered point in degrees, of equals the one with the least ``ident``."""
+    own = scattered.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col(value).alias("_v"), F.col(ident).alias("_n"))
+    dx, dy = F.col("lon") - F.col("_lon"), F.col("lat") - F.col("_lat")
+    best = F.min_by("_v", F.struct((dx * dx + dy * dy).alias("d"), "_n"))
+    out = _by_rings(points, own, width, F.sqrt(dx * dx + dy * dy), best, lambda degrees: F.lit(degrees), cut)
+    return out.select(*points.columns, F.col("_best").alias(value))
+
+
 def distance_to_set(points: DataFrame, targets: DataFrame, keys: list[str], cut: Callable[[DataFrame], DataFrame], width: float = 10.0) -> DataFrame:
     """(keys, distance): kilometres to the nearest of the targets, as the flat distance has it (longitudes do not wrap)."""
     from strataframe.functions.expr import flat_distance

@@ -62,15 +62,37 @@ def coarsen(field: DataFrame, keys: list[str], value: str, size: int) -> DataFra
 
 
 def sub_points(grid: DataFrame, n: int, width: float, height: float) -> DataFrame:
-    """``grid`` with n x n evenly spread points (``lon``, ``lat``) for each column, for averages inside cells.
+    """``grid`` with n x n evenly spread points (``sub``, ``lon``, ``lat``) for each column, for averages inside cells.
 
     Sampled bilinearly afterwards; a spline surface would differ.
     """
-    steps = F.explode(F.array(*[F.struct(F.lit((a + 0.5) / n - 0.5).alias("x"), F.lit((b + 0.5) / n - 0.5).alias("y")) for a in range(n) for b in range(n)]))
-    own = grid.withColumn("_s", steps).withColumn("sub", F.monotonically_increasing_id())
+    at = [(a * n + b, (a + 0.5) / n - 0.5, (b + 0.5) / n - 0.5) for a in range(n) for b in range(n)]
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, x, y in at]))
+    own = grid.withColumn("_s", steps).withColumn("sub", F.col("_s.n"))
     return own.withColumn("lon", F.col("lon") + F.col("_s.x") * width).withColumn("lat", F.col("lat") + F.col("_s.y") * height).drop("_s")
 
 
+def crossing_weights(grid: DataFrame, keys: list[str], axis: str, coord: str, at: float) -> DataFrame:
+    """(keys, axis, w): in every line of a curvilinear grid the two neighbours between which ``coord`` passes ``at``.
+
+    Of several crossings the first counts; an exact hit has weight 1, a line that never crosses gives no row.
+    """
+    w = Window.partitionBy(*keys).orderBy(axis)
+    own = grid.select(*keys, F.col(axis).alias("_a"), F.col(coord).alias("_c"), F.lead(axis).over(w).alias("_b"), F.lead(coord).over(w).alias("_d"))
+    over = ((F.col("_c") <= at) & (F.col("_d") > at)) | ((F.col("_c") >= at) & (F.col("_d") < at)) | (F.col("_d").isNull() & (F.col("_c") == at))
+    first = own.where(over).groupBy(*keys).agg(F.min_by(F.struct("_a", "_b", "_c", "_d"), "_a").alias("_x"))
+    right = F.coalesce((at - F.col("_x._c")) / (F.col("_x._d") - F.col("_x._c")), F.lit(0.0))
+    pair = F.array(F.struct(F.col("_x._a").alias("a"), (1 - right).alias("w")), F.struct(F.col("_x._b").alias("a"), right.alias("w")))
+    return first.select(*keys, F.explode(pair).alias("_p")).select(*keys, F.col("_p.a").alias(axis), F.col("_p.w").alias("w")).where("w > 0")
+
+
+def point_open_fraction(weights: DataFrame, hfac: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, hfac): bilinear open fraction, 0 where a corner is dry."""
+    own = weights.where("w > 0").join(hfac.select("j", "i", "hfac"), ["j", "i"], "left")
+    dry = F.max((F.coalesce("hfac", F.lit(0.0)) <= 0).cast("int")) == 1
+    return own.groupBy(*keys).agg(F.when(dry, 0.0).otherwise(F.sum(F.col("hfac") * F.col("w"))).alias("hfac"))
+
+
 def in_triangles(points: DataFrame, triangles: DataFrame, keys: list[str], tile: float) -> DataFrame:
     """(keys, triangle, w1, w2, w3): barycentric weights of points in mesh triangles (of several the least number).
 

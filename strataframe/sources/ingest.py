@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _AXES = {"t": "t", "z": "k", "y": "j", "x": "i"}
@@ -55,3 +55,30 @@ def with_aliases(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 def unpivot(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, name, value): wide variables as rows, without nulls."""
     return df.unpivot(keys, values, "name", "value").where("value IS NOT NULL")
+
+
+def read_points(spark: SparkSession, path: str, names: list[str], sep: str = " ") -> DataFrame:
+    """Observations as separated text, numbers in the order of ``names``."""
+    return spark.read.schema(", ".join(f"{n} double" for n in names)).option("sep", sep).csv(path)
+
+
+def points_to_grid(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``points`` with ``i`` and ``j``, their places among the distinct longitudes and latitudes (two axes, each small)."""
+    out = points
+    for coord, index in ((lon, "i"), (lat, "j")):
+        axis = points.select(coord).distinct().withColumn(index, F.row_number().over(Window.orderBy(coord)) - 1)
+        out = out.join(axis, coord)
+    return out
+
+
+def segments(written: DataFrame, segment: str, time: str) -> DataFrame:
+    """(segment, first, last, n_times, files, place): the segments of a run in chronological order, and how many files each has."""
+    own = written.select(segment, time, F.col("_metadata.file_path").alias("_file"))
+    out = own.groupBy(segment).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count_distinct(time).alias("n_times"), F.count_distinct("_file").alias("files"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy("first", segment)))  # one row per segment
+
+
+def record_ranges(df: DataFrame, run: list[str], time: str = "t") -> DataFrame:
+    """(run, year, first_record, last_record): where the years of every run stand among its records, from 0."""
+    own = df.withColumn("_n", F.row_number().over(Window.partitionBy(*run).orderBy(time)) - 1)
+    return own.groupBy(*run, F.year(time).alias("year")).agg(F.min("_n").alias("first_record"), F.max("_n").alias("last_record"))

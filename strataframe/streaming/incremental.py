@@ -21,6 +21,30 @@ def append_segment(batch: DataFrame, path: str, compute: Callable[[DataFrame], D
         out.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is output at a path of any file system that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def append_guarded(batch: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], segments: list | None = None, axis: list[str] | None = None, by: str = "segment") -> None:
+    """``append_segment`` that adds to existing output only the ``segments`` that are named.
+
+    Without names it refuses, lest segments are added unawares. With ``axis``,
+    columns that describe an axis (of density bins, say), the new rows must
+    have the axis that is there.
+    """
+    there = exists(batch.sparkSession, path)
+    if there and segments is None:
+        raise FileExistsError(f"{path} exists: name the segments to add")
+    own = batch if segments is None else batch.where(F.col(by).isin(segments))
+    if there and axis:
+        old, new = batch.sparkSession.read.parquet(path).select(*axis).distinct(), compute(own).select(*axis).distinct()
+        if not new.exceptAll(old).isEmpty():
+            raise ValueError(f"the axis {axis} is not that of {path}")
+    append_segment(own, path, compute, by)
+
+
 def follow(spark: SparkSession, source: str, schema, path: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Process segment files as they arrive; the checkpoint knows which were seen. Stops when all are done.
 
