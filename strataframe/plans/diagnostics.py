@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.agg import wavg
@@ -18,7 +18,7 @@ class Diagnostic:
     name: str
     region: str
     variable: str
-    kernel: str  # average, integral, max, min, share
+    kernel: str  # one of KERNELS, or the name of the operator that computes it by itself
     shallow: float = 0.0
     deep: float = -1e9
     threshold: float | None = None
@@ -27,7 +27,85 @@ class Diagnostic:
     units: str = ""
 
 
+#: What one scan of a field can compute. ``surface`` and ``bottom`` take the first and the last level of a column.
+KERNELS = ("average", "integral", "max", "min", "share", "positive", "surface_average", "surface_integral", "surface_max", "bottom_average")
+
+#: Endings of names, with kernel, variable, factor, offset and units. What stands before the ending is the region.
+ENDINGS = (
+    ("mass_balance", "surface_integral", "melt", -917e-12, 0.0, "Gt/y"),
+    ("massloss", "surface_integral", "melt", 917e-12, 0.0, "Gt/y"),
+    ("melting", "surface_average", "melt", 1.0, 0.0, "m/y"),
+    ("temp", "average", "temp", 1.0, 0.0, "degC"),
+    ("salt", "average", "salt", 1.0, 0.0, "psu"),
+    ("density", "average", "density", 1.0, 0.0, "kg/m3"),
+    ("age", "average", "age", 1.0, 0.0, "y"),
+    ("tminustf", "average", "thermal_driving", 1.0, 0.0, "degC"),
+    ("temp_bottom", "bottom_average", "temp", 1.0, 0.0, "degC"),
+    ("salt_bottom", "bottom_average", "salt", 1.0, 0.0, "psu"),
+    ("density_bottom", "bottom_average", "density", 1.0, 0.0, "kg/m3"),
+    ("hice_max", "surface_max", "ice_thickness", 1.0, 0.0, "m"),
+    ("mld_max", "surface_max", "mixed_layer", 1.0, 0.0, "m"),
+    ("eta_avg", "surface_average", "surface_height", 1.0, 0.0, "m"),
+    ("seaice_area", "surface_integral", "ice_area", 1e-12, 0.0, "million km2"),
+    ("conv_area", "area_at_least", "mixed_layer", 1e-12, 0.0, "million km2"),
+    ("ocean_vol", "integral", "one", 1.0, 0.0, "m3"),
+    ("atemp_avg", "surface_average", "air_temp", 1.0, -273.15, "degC"),
+    ("wind_avg", "surface_average", "wind", 1.0, 0.0, "m/s"),
+    ("uwind_avg", "surface_average", "wind_u", 1.0, 0.0, "m/s"),
+    ("vwind_avg", "surface_average", "wind_v", 1.0, 0.0, "m/s"),
+    ("aqh_avg", "surface_average", "humidity", 1e3, 0.0, "1e-3 kg/kg"),
+    ("precip_avg", "surface_average", "precipitation", 1e9, 0.0, "1e-9 m/s"),
+    ("sst_avg", "surface_average", "temp", 1.0, 0.0, "degC"),
+    ("sss_avg", "surface_average", "salt", 1.0, 0.0, "psu"),
+    ("hice_avg", "surface_average", "ice_thickness", 1.0, 0.0, "m"),
+    ("iceprod", "positive", "ice_production", 1e-3, 0.0, "1e3 m3/s"),
+    ("iceshelf_area", "surface_integral", "ice_shelf", 1e-9, 0.0, "1e3 km2"),
+    ("seaice_melt", "surface_integral", "ice_melt", 1e-6, 0.0, "1e3 m3/s"),
+    ("seaice_freeze", "surface_integral", "ice_freeze", 1e-6, 0.0, "1e3 m3/s"),
+    ("pmepr", "surface_integral", "rain_less_evaporation", 1e-6, 0.0, "1e3 m3/s"),
+    ("fwflx", "surface_integral", "fresh_water", 1e-6, 0.0, "1e3 m3/s"),
+    ("heatflx", "surface_integral", "heat", 1.0, 0.0, "W"),
+    ("salt_adv", "inflow", "salt_advection", 1.0, 0.0, "psu m3/s"),
+    ("salt_dif", "inflow", "salt_diffusion", 1.0, 0.0, "psu m3/s"),
+    ("salt_sfc", "surface_integral", "salt_flux", 1 / 1035.0, 0.0, "psu m3/s"),
+    ("salt_sfc_corr", "surface_integral", "salt_correction", -1.0, 0.0, "psu m3/s"),
+    ("salt_tend", "integral", "salt_tendency", 1 / 86400.0, 0.0, "psu m3/s"),
+    ("res_time", "residence_time", "streamfunction", 1.0, 0.0, "y"),
+    ("mean_psi", "average", "streamfunction", 1e-6, 0.0, "Sv"),
+    ("max_psi", "max", "streamfunction", 1e-6, 0.0, "Sv"),
+    ("ustar", "surface_average", "friction_velocity", 1.0, 0.0, "m/s"),
+    ("thermal_driving", "surface_average", "thermal_driving", 1.0, 0.0, "degC"),
+    ("front_tmax", "ice_front_max", "temp", 1.0, 0.0, "degC"),
+    ("thermocline", "thermocline", "temp", 1.0, 0.0, "m"),
+    ("gyre_trans", "gyre_transport", "streamfunction", 1.0, 0.0, "Sv"),
+    ("transect_trans", "transect_transport", "velocity", 1.0, 0.0, "Sv"),
+    ("delta_rho", "density_difference", "density", 1.0, 0.0, "kg/m3"),
+)
+
+#: The same for names that go on with ``_below_<depth>m`` or ``_btw_<depth>_<depth>m``.
+BY_DEPTH = (
+    ("mass_balance", "surface_integral", "melt", -917e-12, "Gt/y"),
+    ("massloss", "surface_integral", "melt", 917e-12, "Gt/y"),
+    ("melting", "surface_average", "melt", 1.0, "m/y"),
+    ("temp", "average", "temp", 1.0, "degC"),
+    ("salt", "average", "salt", 1.0, "psu"),
+    ("density", "average", "density", 1.0, "kg/m3"),
+    ("ohc", "integral", "heat_content", 1.0, "J"),
+    ("dohc_adv", "integral", "heat_advection", 1.0, "W"),
+    ("adv_heat_ns", "inflow", "heat_advection", 1.0, "W"),
+    ("advection_heat_xy", "integral", "heat_advection_across", 1.0, "W"),
+    ("advection_heat_z", "integral", "heat_advection_down", 1.0, "W"),
+    ("diffusion_heat_implicit_z", "integral", "heat_diffusion", 1.0, "W"),
+    ("kpp_heat_z", "integral", "heat_mixing", 1.0, "W"),
+    ("shortwave_penetration", "integral", "shortwave", 1.0, "W"),
+)
+
+#: Water masses by bounds of temperature and salinity (none where open).
+WATER_MASSES = {"isw": (None, -1.9, None, None), "hssw": (-1.9, -1.8, 34.55, None), "wdw": (0.0, None, None, None), "mwdw": (-1.5, 0.0, 34.25, 34.55)}
+
 _PATTERN = re.compile(r"^(?P<region>\w+?)_(?P<variable>[a-z])_(?P<kernel>avg|int|max|min|above_(?P<above>\d+))(?:_btw_(?P<a>\d+)_(?P<b>\d+)m)?$")
+_DEPTH = re.compile(r"^(?P<region>\w+?)_(?P<what>" + "|".join(sorted((r[0] for r in BY_DEPTH), key=len, reverse=True)) + r")_(?:below_(?P<top>\d+)m|btw_(?P<a>\d+)_(?P<b>\d+)m)$")
+_ISOTHERM = re.compile(r"^(?P<region>\w+?)_isotherm_(?P<at>-?\d+(?:\.\d+)?)C(?:_below_(?P<top>\d+)m)?$")
 _KERNELS = {"avg": "average", "int": "integral", "max": "max", "min": "min"}
 _CATALOG: dict[str, Diagnostic] = {}
 
@@ -38,35 +116,59 @@ def register_diagnostic(d: Diagnostic) -> None:
 
 
 def parse(name: str) -> Diagnostic:
-    """``region_x_avg``, ``region_x_int_btw_100_250m``, ``region_x_above_5``, or a registered name."""
+    """A registered name; ``region_x_avg``, ``region_x_int_btw_100_250m``, ``region_x_above_5`` for a variable of one letter; or a
+    region with one of the ENDINGS, with one of BY_DEPTH and its depths, ``_isotherm_<t>C[_below_<depth>m]``, or a water mass ``_<name>_vol``."""
     if name in _CATALOG:
         return _CATALOG[name]
-    m = _PATTERN.match(name)
-    if not m:
-        raise ValueError(f"unknown diagnostic {name}")
-    a, b = (float(m["a"]), float(m["b"])) if m["a"] else (0.0, 1e9)
-    kernel = "share" if m["above"] else _KERNELS[m["kernel"]]
-    return Diagnostic(name, m["region"], m["variable"], kernel, -a, -b, float(m["above"]) if m["above"] else None)
-
-
-def _column(d: Diagnostic, weight: str):
+    if m := _PATTERN.match(name):
+        a, b = (float(m["a"]), float(m["b"])) if m["a"] else (0.0, 1e9)
+        kernel = "share" if m["above"] else _KERNELS[m["kernel"]]
+        return Diagnostic(name, m["region"], m["variable"], kernel, -a, -b, float(m["above"]) if m["above"] else None)
+    if m := _DEPTH.match(name):
+        _, kernel, variable, factor, units = next(r for r in BY_DEPTH if r[0] == m["what"])
+        a, b = (float(m["top"]), 1e9) if m["top"] else (float(m["a"]), float(m["b"]))
+        return Diagnostic(name, m["region"], variable, kernel, -a, -b, None, factor, 0.0, units)
+    if m := _ISOTHERM.match(name):
+        return Diagnostic(name, m["region"], "temp", "isoline_depth", -float(m["top"] or 0), -1e9, float(m["at"]), units="m")
+    for mass in WATER_MASSES:
+        if name.endswith(f"_{mass}_vol"):
+            return Diagnostic(name, name[: -len(mass) - 5], mass, "water_mass", units="% of domain")
+    for ending, kernel, variable, factor, offset, units in sorted(ENDINGS, key=lambda r: -len(r[0])):
+        if name.endswith(f"_{ending}") and len(name) > len(ending) + 1:
+            return Diagnostic(name, name[: -len(ending) - 1], variable, kernel, factor=factor, offset=offset, units=units, threshold=2000.0 if ending == "conv_area" else None)
+    raise ValueError(f"unknown diagnostic {name}")
+
+
+def _column(d: Diagnostic, weight: str, variables: dict[str, str]):
+    if d.kernel not in KERNELS:
+        raise ValueError(f"{d.name} is not computed by a scan but by the operator {d.kernel}")
     here = (F.col("region") == d.region) & F.col("z").between(d.deep, d.shallow)
-    x, w = F.when(here, F.col(d.variable)), F.when(here, F.col(weight))
+    if d.kernel.startswith("surface"):
+        here = here & F.col("_surface")
+    if d.kernel.startswith("bottom"):
+        here = here & F.col("_bottom")
+    own = F.lit(1.0) if d.variable == "one" else F.col(variables.get(d.variable, d.variable))
+    x, w = F.when(here, own), F.when(here, F.col(weight))
     value = {
         "average": lambda: wavg(x, w), "integral": lambda: F.sum(x * w), "max": lambda: F.max(x), "min": lambda: F.min(x),
         "share": lambda: 100.0 * F.sum(F.when(x >= d.threshold, w).otherwise(F.when(x.isNotNull(), 0.0))) / F.sum(F.when(x.isNotNull(), w)),
-    }[d.kernel]()
+        "positive": lambda: F.sum(F.greatest(x, F.lit(0.0)) * w),
+    }[d.kernel.removeprefix("surface_").removeprefix("bottom_")]()
     return (value * d.factor + d.offset).alias(d.name)
 
 
-def compute(field: DataFrame, masks: DataFrame, levels: DataFrame, names: list[str], time: str = "t", weight: str = "w") -> DataFrame:
+def compute(field: DataFrame, masks: DataFrame, levels: DataFrame, names: list[str], time: str = "t", weight: str = "w", variables: dict[str, str] | None = None) -> DataFrame:
     """(time, name, value) of the named diagnostics: one scan, one aggregate by time.
 
-    ``masks``: (region, j, i). Times where a diagnostic has no cell have no row.
+    ``masks``: (region, j, i). ``variables`` maps the catalogue's variables to
+    columns of the field. Times where a diagnostic has no cell have no row.
     """
     specs = [parse(n) for n in names]
     used = sorted({d.region for d in specs})
     own = field.join(F.broadcast(levels.select("k", "z")), "k").join(masks.where(F.col("region").isin(used)), ["j", "i"])
-    wide = own.groupBy(time).agg(*[_column(d, weight) for d in specs])
+    if any(d.kernel.startswith(("surface", "bottom")) for d in specs):
+        column = Window.partitionBy(time, "region", "j", "i")
+        own = own.withColumns({"_surface": F.col("z") == F.max("z").over(column), "_bottom": F.col("z") == F.min("z").over(column)})
+    wide = own.groupBy(time).agg(*[_column(d, weight, variables or {}) for d in specs])
     pairs = F.explode(F.array(*[F.struct(F.lit(d.name).alias("name"), F.col(d.name).alias("value")) for d in specs]))
     return wide.select(time, pairs.alias("_p")).select(time, "_p.name", "_p.value").where("value IS NOT NULL")

@@ -204,3 +204,72 @@ def test_late_rows_are_dropped(spark, tmp_path):
     q.awaitTermination()
     got = {r.start.day: (r.mean, r.n) for r in spark.table("late").collect()}
     assert got[10] == (4.0, 1) and got[1][1] in (1, 2)
+
+
+def test_names_of_all_patterns_parse():
+    p = diagnostics.parse
+    assert len(diagnostics.ENDINGS) + len(diagnostics.BY_DEPTH) >= 60
+    for ending, kernel, variable, factor, offset, units in diagnostics.ENDINGS:
+        d = p(f"some_shelf_{ending}")
+        assert (d.region, d.kernel, d.variable, d.factor, d.offset, d.units) == ("some_shelf", kernel, variable, factor, offset, units)
+    d = p("amundsen_temp_btw_200_700m")
+    assert (d.region, d.variable, d.shallow, d.deep) == ("amundsen", "temp", -200, -700)
+    d = p("shelf_diffusion_heat_implicit_z_below_300m")
+    assert (d.region, d.variable, d.shallow, d.deep) == ("shelf", "heat_diffusion", -300, -1e9)
+    assert p("bay_isotherm_0.5C_below_100m").threshold == 0.5 and p("weddell_mwdw_vol").variable == "mwdw" and p("sea_conv_area").threshold == 2000
+    for bad in ("temp", "no_such_thing", "west_temp_btw_5m"):
+        with pytest.raises(ValueError):
+            p(bad)
+
+
+def test_equations_of_state_give_their_published_check_values(spark):
+    d = spark.createDataFrame([(3.0, 35.5, 3000.0), (25.0, 35.0, 2000.0), (20.0, 20.0, 1000.0), (12.0, 40.0, 8000.0)], "t double, s double, p double")
+    got = {r.t: (r.a, r.b) for r in d.select("t", X.density_jmd95("t", "s", "p").alias("a"), X.density_mdjwf("t", "s", "p").alias("b")).collect()}
+    assert got[3.0][0] == pytest.approx(1041.83267, abs=1e-5)
+    assert got[25.0][1] == pytest.approx(1031.654229, abs=1e-5) and got[20.0][1] == pytest.approx(1017.726743, abs=2e-2) and got[12.0][1] == pytest.approx(1062.928258, abs=1e-5)
+
+
+def test_output_is_guarded(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "segment int, v double")
+    path, same = str(tmp_path / "out"), lambda b: b.select("segment", "v", F.lit(1.0).alias("low"))
+    incremental.append_guarded(rows.where("segment = 1"), path, same)
+    with pytest.raises(FileExistsError):
+        incremental.append_guarded(rows, path, same)
+    with pytest.raises(ValueError):
+        incremental.append_guarded(rows, path, lambda b: same(b).withColumn("low", F.lit(2.0)), [2], ["low"])
+    incremental.append_guarded(rows, path, same, [2], ["low"])
+    assert sorted(r.segment for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_rings_find_the_nearest_at_any_distance(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    pts = [(k, r.uniform(-170, 170), r.uniform(-85, -40)) for k in range(30)]
+    targets = [(k, r.uniform(-20, 20), r.uniform(-80, -70), float(k)) for k in range(25)]
+    p, t = spark.createDataFrame(pts, "n int, lon double, lat double"), spark.createDataFrame(targets, "m int, lon double, lat double, v double")
+    cut = cutter(spark)
+    got = {x.n: x.v for x in joins.nearest_value(p, t, "v", "m", cut, width=3.0).collect()}
+    assert got == {n: min(targets, key=lambda q: (q[1] - lon) ** 2 + (q[2] - lat) ** 2)[3] for n, lon, lat in pts}
+
+    def flat(a, b, c, d):
+        return math.hypot(6.371e6 * math.cos(math.radians((b + d) / 2)) * math.radians(c - a), 6.371e6 * math.radians(d - b)) / 1000
+
+    got = {x.n: x.distance for x in joins.distance_to_set(p, t, ["n"], cut, width=3.0).collect()}
+    assert all(got[n] == pytest.approx(min(flat(lon, lat, q[1], q[2]) for q in targets), rel=2e-3) for n, lon, lat in pts)
+
+
+def test_a_folder_that_not_all_machines_share_is_refused():
+    from types import SimpleNamespace
+
+    from strataframe.plans.cuts import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn")))
+
+
+def test_running_total_in_blocks(spark):
+    rows = [(k, k % 7 + 1) for k in range(50)]
+    got = {r.t: r.total for r in stencil.running_total(spark.createDataFrame(rows, "t int, v long"), "v", "t", F.floor(F.col("t") / 9)).collect()}
+    assert got == {k: sum(v for n, v in rows if n <= k) for k, _ in rows}
