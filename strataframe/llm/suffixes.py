@@ -145,7 +145,7 @@ def _looker(h: int):
 
 
 def double(met: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """(rk, i, class): suffixes whose m anchors repeat, from packed (rk, i, m, rank), rank being that of FIRST anchors; m is 0 where a suffix only continues others.
+    """(rk, i, class, members): suffixes whose m anchors repeat, from packed (rk, i, m, rank), rank being that of FIRST anchors; m is 0 where a suffix only continues others.
 
     ``class`` is the place of the m anchors in the sorted order of those that repeat.
     """
@@ -161,16 +161,16 @@ def double(met: DataFrame, n: int, scratch: Scratch) -> DataFrame:
         finals = past if finals is None else finals.unionByName(past)
         pairs = looked.where("next >= 0").select("rk", "i", F.when(F.col("m") >= 2 * h, F.col("m")).otherwise(0).alias("m"), "rank", F.col("next").alias("other"))
         if pairs.where("m > 0").isEmpty():
-            return ranked(finals, scratch, ["m", "rank", "other"]).select("rk", "i", F.col("place").alias("class"))
+            return ranked(finals, scratch, ["m", "rank", "other"]).select("rk", "i", F.col("place").alias("class"), "members")
         alive = ranked(pairs, scratch, ["rank", "other"]).select(F.pmod("rk", F.lit(n)).alias("bucket"), "rk", "i", "m", F.col("place").alias("rank"))
         h *= 2
         looked = scratch.cut(alive.groupBy("bucket").applyInArrow(_looker(h), LOOKED))
 
 
 def ranked(pairs: DataFrame, scratch: Scratch, key: list[str]) -> DataFrame:
-    """The rows whose key repeats, with ``place``, the key's place in the sorted order: keys are counted before they are
+    """The rows whose key repeats, with the number of its ``members`` and ``place``, its place in the sorted order: keys are counted before they are
     shuffled, sorted by ranges, and numbered, so a key of any number of rows is one row in the sort."""
-    often = pairs.groupBy(*key).count().where("count > 1").select(*key)
+    often = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     places = scratch.cut(often.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()))
     return pairs.join(places, key)
 
@@ -198,20 +198,19 @@ def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[Dat
             at = np.concatenate([s.first[r] + v["i"] for r, v in own])
             names = [span_hashes(data, s.x[at] - s.high[at], s.x[at] - s.low[at] + length, family=f) for f in FAMILIES]
             out.append(
-                [np.concatenate([v["class"] for _, v in own]), *(h.view(np.int64) for h in names), rk[a + s.row[at]], s.x[at] - s.high[at] - off[s.row[at]], s.high[at] - s.low[at] + 1]
+                [*(np.concatenate([v[c] for _, v in own]) for c in ("class", "members")), *(h.view(np.int64) for h in names), rk[a + s.row[at]], s.x[at] - s.high[at] - off[s.row[at]], s.high[at] - s.low[at] + 1]
             )
-        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(6)]
-        return pa.table([pa.array(c) for c in cols], names=["class", "full", "full2", "rk", "pos", "count"])
+        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(7)]
+        return pa.table([pa.array(c) for c in cols], names=["class", "members", "full", "full2", "rk", "pos", "count"])
 
     by_doc = classes.withColumn("bucket", F.pmod("rk", F.lit(n)))
-    around = scratch.cut(with_texts(rows, by_doc, surroundings, "class long, full long, full2 long, rk long, pos long, count long", n, packed=False))
+    around = scratch.cut(with_texts(rows, by_doc, surroundings, "class long, members long, full long, full2 long, rk long, pos long, count long", n, packed=False))
     key = ["class", "full", "full2"]
-    kinds = scratch.cut(around.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk", "pos")).alias("leader")))
-    several = kinds.groupBy("class").count().where("count > 1").select("class", F.lit(True).alias("several"))
+    kinds = scratch.cut(around.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.first("members").alias("members"), F.min(F.struct("rk", "pos")).alias("leader")))
     judged = around.join(kinds.where("copies > 1").select(*key, F.lit(CERTAIN).alias("sure")), key, "left")
     certain = judged.where("sure IS NOT NULL").select("rk", "pos", "count", F.lit(CERTAIN).alias("status"))
     # one of each kind of surroundings meets the other kinds of its class, string by string
-    ship = kinds.join(several, "class").select("leader.*").join(around.select("rk", "pos", "count"), ["rk", "pos"]).select("rk", "pos", "count", F.lit(SHIP).alias("status"))
+    ship = kinds.where("copies < members").select("leader.*").join(around.select("rk", "pos", "count"), ["rk", "pos"]).select("rk", "pos", "count", F.lit(SHIP).alias("status"))
     settled = scratch.cut(certain.unionByName(ship).withColumn("bucket", F.pmod("rk", F.lit(n))))
 
     def single(ids, rk, texts, found):
