@@ -95,11 +95,22 @@ def test_cells_beyond_the_block_size_lose_no_pair(spark, monkeypatch):
     assert {r.component_id for r in near.components(docs).collect()} == {0}
 
 
-def test_blocks_hold_every_pair_of_near_sizes():
-    families = [[100] * 4 + [400] * 3, [100] * 4 + [130], [100] * 4 + [200] * 4 + [400] * 4, [100] * 4 + [120] * 4 + [151] * 3, list(range(50, 90, 3))]
-    for sizes in families:
-        got = {(i, j) for own in near.blocks(np.array(sizes), 4) for i in own.tolist() for j in own.tolist() if i < j}
-        assert got >= {(i, j) for j in range(len(sizes)) for i in range(j) if 4 * sizes[j] <= 5 * sizes[i]}
+@pytest.mark.parametrize("seed", range(3))
+def test_the_last_round_of_large_cells_brings_together_every_pair_that_can_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(near, "MAX_CELL", 4)
+    r = random.Random(seed)
+    rows = [(c, 100 * c + k, r.choice([5, 20, 25, 26, 31, 32, 40, 100, 125, 156])) for c in range(3) for k in range(40)]
+    label = {n: min(n % 100, 7) if r.random() < 0.7 else n for _, n, _ in rows}
+    large = spark.createDataFrame(rows, "cell long, node long, n long")
+    labels = spark.createDataFrame(list(label.items()), "node long, component long")
+    cells = {}
+    for x in near._dealt(large, "all", labels).collect():
+        cells.setdefault(x.cell, set()).add(x.node)
+    together = {(a, b) for own in cells.values() for a in own for b in own}
+    for c, a, n in rows:
+        for d, b, m in rows:
+            if c == d and a < b and label[a] != label[b] and 4 * max(n, m) <= 5 * min(n, m):
+                assert (a, b) in together
 
 
 def test_blocks_between_jumps_in_size_lose_no_pair(spark, monkeypatch):
@@ -114,6 +125,44 @@ def test_blocks_between_jumps_in_size_lose_no_pair(spark, monkeypatch):
     assert sorted((c, got.count(c)) for c in set(got)) == families
 
 
+def test_very_long_texts_link(spark):
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(150_000)]
+    near_copy = [w if r.random() > 0.015 else "changed" for w in words]
+    far = [w if r.random() > 0.1 else "other" for w in words]
+    rows = [(3, " ".join(words)), (2, " ".join(near_copy)), (9, " ".join(far)), (1, "a short text of its own")]
+    sets = {d: shingles(t) for d, t in rows}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert link(3, 2) and not link(3, 9) and not link(2, 9)
+    got = {x.id: (x.n_shingles, x.component_id) for x in near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(sets[1]), 1), 2: (len(sets[2]), 2), 3: (len(sets[3]), 2), 9: (len(sets[9]), 9)}
+
+
+@pytest.mark.parametrize("most", [2, 8, 1024])
+def test_large_families_of_near_copies(spark, monkeypatch, most):
+    """Many copies of a short text among copies of a long one: one shingle is in both, and one document may join both families."""
+    monkeypatch.setattr(near, "MAX_CELL", most)
+    r = random.Random(most)
+    short, long = [f"a{j}" for j in range(13)], [f"b{j}" for j in range(60)]
+    rows = [(k, " ".join([*short, f"own{k}"])) for k in range(150)] + [(1000 + k, " ".join([*short, *long[: r.randint(50, 60)], f"more{k}"])) for k in range(200)]
+    rows += [(5000 + k, " ".join(f"z{r.randrange(40)}" for _ in range(r.randint(5, 9)))) for k in range(60)]
+    got = {x.id: x.component_id for x in near.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets, parent = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if root(a) != root(b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    assert got == {d: root(d) for d in ids}
+
+
 def brute_words(rows, window):
     docs = [(d if d is not None else spread.NO_ID, WORD.findall(t or "")) for d, t in rows]
     first = {}
