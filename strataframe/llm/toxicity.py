@@ -59,15 +59,15 @@ def ftrl(examples, bits: int, alpha: float, beta: float, l1: float, l2: float, e
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    max_rows: int = MAX_ROWS, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = 10, min_count: int = 8,
+    max_rows: int = MAX_ROWS, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = 10,
 ) -> DataFrame:
     """Weights as rows (feature, weight), feature -1 being the bias; at most ``2**bits + 1`` rows.
 
     ``labels`` are the rows to learn from. Rows with a null id or label are
     skipped; of several labels of one id the largest counts, of several texts
     of one id the last in string order. Of more than ``max_rows`` labelled ids
-    those with the smallest id hashes are taken. Features in fewer than
-    ``min_count`` sampled documents are not learnt. Without labels: no rows.
+    those with the smallest id hashes are taken. What is rare falls to L1 alone.
+    Without labels: no rows.
     """
     ids = (
         labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
@@ -97,10 +97,6 @@ def train(
             examples += [(y, np.frombuffer(f, np.int32)) for y, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         if not examples:
             return
-        seen = np.zeros(1 << bits, np.int32)
-        for _, idx in examples:
-            seen[idx] += 1
-        examples = [(y, idx[seen[idx] >= min_count]) for y, idx in examples]
         w, bias = ftrl(examples, bits, alpha, beta, l1, l2, epochs)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, _BIAS)), pa.array(np.append(w[at], bias))], names=["feature", "weight"])

@@ -282,7 +282,7 @@ def test_toxicity_is_plain_ftrl(spark):
     bias = -bz / ((beta + math.sqrt(bn)) / alpha)
     texts = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
-    model = toxicity.train(texts, labels, bits=bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs, min_count=1)
+    model = toxicity.train(texts, labels, bits=bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
     got = {x.feature: x.weight for x in model.collect()}
     expected = {f: weight(f) for f in z if weight(f)} | {-1: bias}
     assert got.keys() == expected.keys() and all(got[f] == pytest.approx(expected[f]) for f in got)
