@@ -24,41 +24,48 @@ class Scratch:
     """Intermediate tables of one operator call, in the shared folder.
 
     ``cut`` writes a DataFrame as Parquet and reads it back: later plans start
-    from the files, so a lost executor costs only a re-read. ``drop`` deletes a
-    table that nothing needs any more.
+    from the files, so a lost executor costs only a re-read. ``release`` deletes
+    tables from which nothing is read any more; what a result reads stays until
+    the folder is cleared.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.live: list[str] = []
 
-    def cut(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{self.n}"
+    def _written(self) -> str:
         self.n += 1
+        return f"{self.root}/{self.n}"
+
+    def cut(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        path = self._written()
         df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        # nothing refers to the written plan any more: let Spark's cleaner delete its shuffle files
-        self.spark.sparkContext._jvm.System.gc()
-        return out
+        self.live.append(path)
+        self._clean()
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, key: str, files: int) -> DataFrame:
         """``df`` written in ``files`` buckets by ``key``: later groupings by it need no shuffle."""
-        name, path = f"scratch_{uuid.uuid4().hex}", f"{self.root}/{self.n}"
-        self.n += 1
+        name, path = f"scratch_{uuid.uuid4().hex}", self._written()
         df.repartition(files, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(files, key).saveAsTable(name)
-        self.spark.sparkContext._jvm.System.gc()
+        self._clean()
         return self.spark.table(name)
 
-    def drop(self, *dfs: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for df in dfs:
-            if path := self.paths.pop(id(df), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def _clean(self) -> None:
+        # Shuffle files go when the driver collects the plan that made them, and Spark has no other call for it; a driver
+        # with a small heap in use collects late, so the disks of the executors would hold the shuffles of all past tables.
+        self.spark.sparkContext._jvm.System.gc()
 
+    def so_far(self) -> list[str]:
+        """The tables that ``cut`` has written and that are still there."""
+        return list(self.live)
 
-def batch_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    def release(self, paths: list[str]) -> None:
+        """Delete tables; only when whatever is read from them has been written."""
+        jvm = self.spark.sparkContext._jvm
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self.live.remove(path)

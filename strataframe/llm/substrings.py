@@ -72,7 +72,10 @@ def shared_windows(rows: DataFrame, n: int, scratch: Scratch, window: int) -> Da
             p.add((h % np.uint64(n)).astype(np.int64), fp=h, fp2=second, id=ids[a + row], rk=rk[a + row], pos=(at - w.first[row]).astype(np.uint32))
         return blob_table(p)
 
-    return exchange(with_texts(rows, alive, extend, BLOBS, n), n, lambda own, lo, hi, count: own > lo, ("pos",), scratch)
+    old = scratch.so_far()
+    hits = exchange(with_texts(rows, alive, extend, BLOBS, n), n, lambda own, lo, hi, count: own > lo, ("pos",), scratch)
+    scratch.release(old)
+    return hits
 
 
 def remove(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:

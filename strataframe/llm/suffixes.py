@@ -204,14 +204,18 @@ def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[Dat
         return pa.table([pa.array(c) for c in cols], names=["class", "members", "full", "full2", "rk", "pos", "count"])
 
     by_doc = classes.withColumn("bucket", F.pmod("rk", F.lit(n)))
+    old = scratch.so_far()
     around = scratch.cut(with_texts(rows, by_doc, surroundings, "class long, members long, full long, full2 long, rk long, pos long, count long", n, packed=False))
+    scratch.release(old)
     key = ["class", "full", "full2"]
     kinds = scratch.cut(around.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.first("members").alias("members"), F.min(F.struct("rk", "pos")).alias("leader")))
     judged = around.join(kinds.where("copies > 1").select(*key, F.lit(CERTAIN).alias("sure")), key, "left")
     certain = judged.where("sure IS NOT NULL").select("rk", "pos", "count", F.lit(CERTAIN).alias("status"))
     # one of each kind of surroundings meets the other kinds of its class, string by string
     ship = kinds.where("copies < members").select("leader.*").join(around.select("rk", "pos", "count"), ["rk", "pos"]).select("rk", "pos", "count", F.lit(SHIP).alias("status"))
+    old = scratch.so_far()
     settled = scratch.cut(certain.unionByName(ship).withColumn("bucket", F.pmod("rk", F.lit(n))))
+    scratch.release(old)
 
     def single(ids, rk, texts, found):
         p = Packer(n, split=True)
