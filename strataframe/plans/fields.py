@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataframe.functions import constants as K
 from strataframe.functions import expr as X
 from strataframe.operators import agg, columns, joins, regions
 from strataframe.plans.core import query, rounded
@@ -91,19 +92,23 @@ def b6_flat_distance(spark, sf):
     return rounded(g.join(far, ["j", "i"]).select("j", "i", X.flat_distance("lon", "lat", "lon1", "lat1").alias("d")), "d", n=3)
 
 
-_GRADIENT = "(3.5803e-5 + 8.5258e-6 * {t} - 6.836e-8 * {t}*{t} + 6.6228e-10 * {t}*{t}*{t} + (1.8932e-6 - 4.2393e-8 * {t}) * (s - 35) + (1.8741e-8 - 6.7795e-10 * {t} + 8.733e-12 * {t}*{t} - 5.4481e-14 * {t}*{t}*{t} + (-1.1351e-10 + 2.7759e-12 * {t}) * (s - 35)) * {p} + (-4.6206e-13 + 1.8676e-14 * {t} - 2.1687e-16 * {t}*{t}) * {p}*{p})"
+def _gradient_sql(t: str, p: str) -> str:
+    """The adiabatic gradient of the fixed coefficients as SQL, with salinity in ``s``."""
+    parts = {"1": "1", "salt": "(s - 35)", "press": p, "salt*press": f"(s - 35) * {p}", "press*press": f"{p} * {p}"}
+    return " + ".join(f"{c!r} * pow({t}, {n}) * {parts[name]}" for name, row in K.ADIABATIC.items() for n, c in enumerate(row))
 
 
-@query(f"""
-, a0 AS (SELECT t, k, j, i, x AS th, 30 + y AS s, abs(z) AS p FROM cells JOIN levels USING (k)),
-a1 AS (SELECT *, p * {_GRADIENT.format(t="th", p="0")} AS d1 FROM a0), b1 AS (SELECT *, th + 0.5 * d1 AS t1, d1 AS q1 FROM a1),
-a2 AS (SELECT *, p * {_GRADIENT.format(t="t1", p="(0.5*p)")} AS d2 FROM b1),
-b2 AS (SELECT *, t1 + (1 - 1 / sqrt(2)) * (d2 - q1) AS t2, (2 - sqrt(2)) * d2 + (-2 + 3 / sqrt(2)) * q1 AS q2 FROM a2),
-a3 AS (SELECT *, p * {_GRADIENT.format(t="t2", p="(0.5*p)")} AS d3 FROM b2),
-b3 AS (SELECT *, t2 + (1 + 1 / sqrt(2)) * (d3 - q2) AS t3, (2 + sqrt(2)) * d3 + (-2 - 3 / sqrt(2)) * q2 AS q3 FROM a3),
-a4 AS (SELECT *, p * {_GRADIENT.format(t="t3", p="p")} AS d4 FROM b3)
-SELECT t, k, j, i, round(t3 + (d4 - 2 * q3) / 6, 6) AS temp_in_situ, round(t3 + (d4 - 2 * q3) / 6 - (-0.0575 * s - 7.61e-4 * p + 0.0901), 6) AS driving FROM a4
-""")
+def _in_situ_sql() -> str:
+    """Gill's scheme over cells, a table for each of its steps: the temperature and the carried difference."""
+    out, half = "a0 AS (SELECT t, k, j, i, x AS th, 0.0 AS q, 30 + y AS s, abs(z) AS p FROM cells JOIN levels USING (k))", "sqrt(0.5)"
+    for n, (at, gain, carry, keep) in enumerate((("0.0", "0.5", "1", "0"), ("0.5", f"(1 - {half})", f"(2 - 2 * {half})", f"(3 * {half} - 2)"), ("0.5", f"(1 + {half})", f"(2 + 2 * {half})", f"(-3 * {half} - 2)"))):
+        out += f", d{n} AS (SELECT *, p * ({_gradient_sql('th', f'({at} * p)')}) AS d FROM a{n})"
+        out += f", a{n + 1} AS (SELECT t, k, j, i, s, p, th + {gain} * (d - q) AS th, {carry} * d + {keep} * q AS q FROM d{n})"
+    return out + f", situ AS (SELECT t, k, j, i, s, p, th + (p * ({_gradient_sql('th', 'p')}) - 2 * q) / 6 AS temp FROM a3)"
+
+
+@query(f""", {_in_situ_sql()}
+SELECT t, k, j, i, round(temp, 6) AS temp_in_situ, round(temp - ({K.FREEZING[0]!r} * s + {K.FREEZING[1]!r} * p + {K.FREEZING[2]!r}), 6) AS driving FROM situ""")
 def b9_thermal_driving(spark, sf):
     """In-situ temperature, and what it is above the freezing point."""
     c = V.cells(spark, sf).join(V.levels(spark, sf), "k").withColumn("s", 30 + F.col("y"))
