@@ -25,6 +25,11 @@ def query(sql: str | None = None, views: bool = True) -> Callable:
     return add
 
 
-def rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
+#: Added before rounding where values may lie half way between two results: means of few whole numbers by weights that are
+#: fractions of a power of two. Two engines add them in different orders; a last bit must not decide where they go.
+TIE = 3e-8
+
+
+def rounded(df: DataFrame, *cols: str, n: int = 6, tie: float = 0.0) -> DataFrame:
     """Doubles rounded, so that results of two engines compare; -0.0 becomes 0.0."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), n) + 0.0 for c in cols})
+    return df.withColumns({c: F.round(F.col(c).cast("double") + tie, n) + 0.0 for c in cols})
