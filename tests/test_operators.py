@@ -245,17 +245,17 @@ def test_rings_find_the_nearest_at_any_distance(spark, tmp_path):
     import random
 
     r = random.Random(3)
-    pts = [(k, r.uniform(-170, 170), r.uniform(-85, -40)) for k in range(30)]
+    pts = [(k, r.uniform(-170, 170), r.uniform(-85, -40)) for k in range(12)]
     targets = [(k, r.uniform(-20, 20), r.uniform(-80, -70), float(k)) for k in range(25)]
     p, t = spark.createDataFrame(pts, "n int, lon double, lat double"), spark.createDataFrame(targets, "m int, lon double, lat double, v double")
     cut = cutter(spark)
-    got = {x.n: x.v for x in joins.nearest_value(p, t, "v", "m", cut, width=3.0).collect()}
+    got = {x.n: x.v for x in joins.nearest_value(p, t, "v", "m", cut, width=15.0).collect()}
     assert got == {n: min(targets, key=lambda q: (q[1] - lon) ** 2 + (q[2] - lat) ** 2)[3] for n, lon, lat in pts}
 
     def flat(a, b, c, d):
         return math.hypot(6.371e6 * math.cos(math.radians((b + d) / 2)) * math.radians(c - a), 6.371e6 * math.radians(d - b)) / 1000
 
-    got = {x.n: x.distance for x in joins.distance_to_set(p, t, ["n"], cut, width=3.0).collect()}
+    got = {x.n: x.distance for x in joins.distance_to_set(p, t, ["n"], cut, width=15.0).collect()}
     assert all(got[n] == pytest.approx(min(flat(lon, lat, q[1], q[2]) for q in targets), rel=2e-3) for n, lon, lat in pts)
 
 
