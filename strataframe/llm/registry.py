@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataframe.llm import queries_dedup, queries_native, queries_text
+from strataframe.llm import queries_dedup, queries_models, queries_native, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_native.QUERIES, **queries_dedup.QUERIES}
-SQL = {**queries_text.SQL, **queries_native.SQL, **queries_dedup.SQL}
+QUERIES = {**queries_text.QUERIES, **queries_native.QUERIES, **queries_dedup.QUERIES, **queries_models.QUERIES}
+SQL = {**queries_text.SQL, **queries_native.SQL, **queries_dedup.SQL, **queries_models.SQL}

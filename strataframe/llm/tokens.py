@@ -123,6 +123,21 @@ def split_words(data: np.ndarray, off: np.ndarray, rule: np.ndarray, lower: bool
     return Words(data, start, end, first, h)
 
 
+def word_strings(w: Words) -> pa.Array:
+    """The words as an Arrow array of bytes."""
+    size = np.append(0, np.cumsum(w.end - w.start))
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.start] = 1
+    inside[w.end] -= 1
+    raw = w.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    return pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def word_codes(w: Words) -> np.ndarray:
+    """A number for every word, equal for equal words and for no others."""
+    return word_strings(w).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def prefix_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Sums S with ``span hash = (S[end] - S[start]) * base**-start``."""
     up, _ = powers(len(data), family)
