@@ -93,6 +93,29 @@ def boundary_class(grid: DataFrame, region: str) -> DataFrame:
     return out.where(F.col(region)).join(shelf, ["j", "i"]).select("j", "i", kind.alias("boundary")).where("boundary IS NOT NULL")
 
 
+def named_masks(grid: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, j, i) of every region's open ocean, of its ice as ``<region>_cavity`` and of its ice front as ``<region>_front``."""
+    cavity = region_mask(grid, regions, cavity=True)
+    front = cavity.join(ice_front(grid).select("j", "i"), ["j", "i"], "left_semi")
+    rows = lambda df, end: df.select(F.concat("region", F.lit(end)).alias("region"), "j", "i")
+    return rows(region_mask(grid, regions), "").unionByName(rows(cavity, "_cavity")).unionByName(rows(front, "_front"))
+
+
+def region_boundaries(grid: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, boundary, j, i): columns of a region beside ice or land (``icefront``), what is too deep (``openocean``), too far
+    east (``upstream``) or too far north (``downstream``); of several the first. Each region lies within its own bounds."""
+    bounds = regions.groupBy(F.col("name").alias("region")).agg(F.min("bathy_deep").alias("_deep"), F.max("xmax").alias("_east"), F.max("ymax").alias("_north"))
+    near = grid.join(bounds).select("region", "j", "i", (F.col("is_ice") | F.col("is_land")).alias("_ice"), (F.col("bathy") < F.col("_deep")).alias("_sea"), (F.col("lon") >= F.col("_east")).alias("_up"), (F.col("lat") >= F.col("_north")).alias("_down"))
+    size = grid.agg(F.min("j").alias("_j0"), F.max("j").alias("_j1"), F.min("i").alias("_i0"), F.max("i").alias("_i1"))  # one row
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+    own = region_mask(grid, regions).select("region", "j", "i").join(F.broadcast(size)).withColumn("_s", step)
+    own = own.select("region", F.col("j").alias("_j"), F.col("i").alias("_i"), F.least(F.greatest(F.col("j") + F.col("_s.dj"), "_j0"), "_j1").alias("j"), F.least(F.greatest(F.col("i") + F.col("_s.di"), "_i0"), "_i1").alias("i"))
+    kinds = {"icefront": "_ice", "openocean": "_sea", "upstream": "_up", "downstream": "_down"}
+    hit = own.join(near, ["region", "j", "i"]).groupBy("region", F.col("_j").alias("j"), F.col("_i").alias("i")).agg(*[F.max(c).alias(c) for c in kinds.values()])
+    first = F.coalesce(*[F.when(F.col(c), F.lit(k)) for k, c in kinds.items()])
+    return hit.select("region", first.alias("boundary"), "j", "i").where("boundary IS NOT NULL")
+
+
 def years(df: DataFrame, first: int, last: int, time: str = "t") -> DataFrame:
     return df.where(F.year(time).between(first, last))
 

@@ -535,35 +535,3 @@ def t4_all_segments(spark, sf):
 
     incremental.follow(spark, source, c.schema, path, state, compute).awaitTermination()
     return rounded(spark.read.parquet(path).select("segment", "t", "name", "value"), "value")
-
-
-# ---------------------------------------------------------------- named diagnostics
-
-#: Columns of the field that play the catalogue's variables.
-_VARIABLES = {"temp": "x", "salt": "y", "melt": "x", "ice_thickness": "y", "streamfunction": "x", "heat": "y", "ice_production": "x", "air_temp": "x", "wind": "y", "thermal_driving": "x", "heat_content": "x"}
-
-
-def _pattern_names() -> list[str]:
-    """One name for every pattern of the catalogue that a scan computes from these variables."""
-    names = [f"west_{r[0]}" for r in diagnostics.ENDINGS] + [f"middle_{r[0]}_below_100m" for r in diagnostics.BY_DEPTH] + [f"east_{r[0]}_btw_50_200m" for r in diagnostics.BY_DEPTH]
-    return [n for n in names if (d := diagnostics.parse(n)).kernel in diagnostics.KERNELS and (d.variable in _VARIABLES or d.variable == "one")]
-
-
-def _pattern_sql(name: str) -> str:
-    d = diagnostics.parse(name)
-    v = _VARIABLES.get(d.variable, "1.0")
-    value = {"average": f"sum({v} * w) / sum(w)", "integral": f"sum({v} * w)", "max": f"max({v})", "positive": f"sum(greatest({v}, 0) * w)"}[d.kernel.removeprefix("surface_").removeprefix("bottom_")]
-    place = {"surface": " AND surface", "bottom": " AND bottom"}.get(d.kernel.split("_")[0], "")
-    return f"SELECT '{name}' AS name, '{d.units}' AS units, count(*) AS n, round(avg(v), 4) + 0.0 AS mean FROM (SELECT t, {value} AS v FROM own2 WHERE region = '{d.region}' AND z BETWEEN {d.deep} AND {d.shallow}{place} GROUP BY t)"
-
-
-@query(_HIT + ", own2 AS (SELECT *, z = max(z) OVER (PARTITION BY t, region, j, i) AS surface, z = min(z) OVER (PARTITION BY t, region, j, i) AS bottom FROM own) " + " UNION ALL ".join(map(_pattern_sql, _pattern_names())))
-def u1_name_patterns(spark, sf):
-    """Names of all patterns parsed and computed in one scan; means over time without the name's factor and offset."""
-    names = _pattern_names()
-    masks = regions.restrict(V.grid_xy(spark, sf), V.regions(spark)).select("region", "j", "i")
-    values = diagnostics.compute(V.cells(spark, sf), masks, V.levels(spark, sf), names, variables=_VARIABLES)
-    specs = [diagnostics.parse(n) for n in names]
-    facts = F.map_from_arrays(F.array(*[F.lit(d.name) for d in specs]), F.array(*[F.struct(F.lit(d.units).alias("units"), F.lit(d.factor).alias("factor"), F.lit(d.offset).alias("offset")) for d in specs]))
-    own = values.withColumn("d", facts[F.col("name")]).withColumn("v", (F.col("value") - F.col("d.offset")) / F.col("d.factor"))
-    return rounded(own.groupBy("name", F.col("d.units").alias("units")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), "mean", n=4)

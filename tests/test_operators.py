@@ -206,22 +206,6 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got[10] == (4.0, 1) and got[1][1] in (1, 2)
 
 
-def test_names_of_all_patterns_parse():
-    p = diagnostics.parse
-    assert len(diagnostics.ENDINGS) + len(diagnostics.BY_DEPTH) >= 60
-    for ending, kernel, variable, factor, offset, units in diagnostics.ENDINGS:
-        d = p(f"some_shelf_{ending}")
-        assert (d.region, d.kernel, d.variable, d.factor, d.offset, d.units) == ("some_shelf", kernel, variable, factor, offset, units)
-    d = p("amundsen_temp_btw_200_700m")
-    assert (d.region, d.variable, d.shallow, d.deep) == ("amundsen", "temp", -200, -700)
-    d = p("shelf_diffusion_heat_implicit_z_below_300m")
-    assert (d.region, d.variable, d.shallow, d.deep) == ("shelf", "heat_diffusion", -300, -1e9)
-    assert p("bay_isotherm_0.5C_below_100m").threshold == 0.5 and p("weddell_mwdw_vol").variable == "mwdw" and p("sea_conv_area").threshold == 2000
-    for bad in ("temp", "no_such_thing", "west_temp_btw_5m"):
-        with pytest.raises(ValueError):
-            p(bad)
-
-
 def test_equations_of_state_give_their_published_check_values(spark):
     d = spark.createDataFrame([(3.0, 35.5, 3000.0), (25.0, 35.0, 2000.0), (20.0, 20.0, 1000.0), (12.0, 40.0, 8000.0)], "t double, s double, p double")
     got = {r.t: (r.a, r.b) for r in d.select("t", X.density_jmd95("t", "s", "p").alias("a"), X.density_mdjwf("t", "s", "p").alias("b")).collect()}
