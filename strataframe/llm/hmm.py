@@ -281,7 +281,7 @@ def one_round(coded: DataFrame, classes_col: str, m: Model, unigram: np.ndarray)
 
 
 def score(
-    docs: DataFrame, learn: Column, text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, vocabulary: int = VOCABULARY, history: list | None = None,
+    docs: DataFrame, learn: Column, text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, vocabulary: int = VOCABULARY, history: list | None = None, scratch: Scratch | None = None,
 ) -> DataFrame:
     """``docs`` without their text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -292,9 +292,10 @@ def score(
     log10 of the probability of all tokens summed over all paths of states.
     Null and empty texts are the end alone. Without rows to learn from, ``score``
     equals ``base_score``. Columns of the five names are replaced. ``history``
-    gets the likelihood before every round.
+    gets the likelihood before every round. The result reads tables of ``scratch``;
+    whoever passes one closes it afterwards.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "hmm")
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "hmm")
     key, learnt, known, base, classes, rare = fresh(docs, "row", "learn", "known", "base", "classes", "rare")
     (n_tokens,) = fresh(docs, "tokens")
     table = scratch.cut(count_words(docs.where(learn), text_col))

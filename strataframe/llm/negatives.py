@@ -125,7 +125,7 @@ def _scored(rows: pa.Table, anchors: pa.Table, dim: int, primes: list[int], same
 
 def mine(
     rows: DataFrame, is_anchor: Column, label: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0,
-    n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, band: tuple[int, int] = BAND,
+    n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, band: tuple[int, int] = BAND, scratch: Scratch | None = None,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): the hard negatives of every anchor and positive.
 
@@ -136,9 +136,10 @@ def mine(
     or a label, without a vector or with a null or non-finite component take no
     part; of rows that share an id the least (label, vector) counts. Shorter
     vectors are filled up with zeros. Scores beyond 64 bits are an error. Empty
-    tables and labels of one row give no rows.
+    tables and labels of one row give no rows. The result reads tables of
+    ``scratch``; whoever passes one closes it afterwards.
     """
-    (low, high), scratch = band, Scratch(rows.sparkSession, "negatives")
+    (low, high), scratch = band, scratch or Scratch(rows.sparkSession, "negatives")
     own = prepared(rows, id_col, vector_col, label, scale)
     n, dim, bound = bound_of(own)
     own = scratch.cut(own.withColumn("v", F.col("v").cast("array<long>")))

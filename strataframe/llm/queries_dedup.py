@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import near, substrings, suffixes
+from strataframe.llm.cluster import Scratch
 from strataframe.llm.queries_text import table
 from strataframe.llm.spread import NO_ID
 
@@ -16,19 +17,22 @@ def own_id(col: str = "id"):
 
 def op3_ngram_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near.components(docs)
+    scratch = Scratch(spark, "op3")
+    found = near.components(docs, scratch=scratch)
     component = F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id")
-    return found.select(own_id(), "n_shingles", component)
+    return scratch.result(found.select(own_id(), "n_shingles", component))
 
 
 def op6_substring_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.remove(docs, keep_text=False).select(own_id(), "n_words", "n_removed", "kept_sha256")
+    scratch = Scratch(spark, "op6")
+    return scratch.result(substrings.remove(docs, keep_text=False, scratch=scratch).select(own_id(), "n_words", "n_removed", "kept_sha256"))
 
 
 def op9_suffix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.remove(docs, keep_bytes=False).select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    scratch = Scratch(spark, "op9")
+    return scratch.result(suffixes.remove(docs, keep_bytes=False, scratch=scratch).select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 OP3_SQL = r"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import hmm, negatives, runs
+from strataframe.llm.cluster import Scratch
 from strataframe.llm.queries_text import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,13 +38,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return hmm.score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scratch = Scratch(spark, "op12")
+    found = hmm.score(docs, ~held, scratch=scratch)
+    return scratch.result(found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
 def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return negatives.mine(rows, F.col("id") % 100 == 0, label)
+    scratch = Scratch(spark, "op13")
+    return scratch.result(negatives.mine(rows, F.col("id") % 100 == 0, label, scratch=scratch))
 
 
 OP11_SQL = r"""

@@ -67,7 +67,7 @@ def shared_windows(rows: DataFrame, n: int, scratch: Scratch, window: int) -> Da
             use = near[at]
             at, h = at[use], h[use]
             row = np.searchsorted(w.first, at, "right") - 1
-            # what is removed is decided here: by 128 bits
+            # what is removed is decided here: by 125 bits
             second = run_hashes(span_hashes(data, w.start, w.end, family=1), at, window, family=1)
             p.add((h % np.uint64(n)).astype(np.int64), fp=h, fp2=second, id=ids[a + row], rk=rk[a + row], pos=(at - w.first[row]).astype(np.uint32))
         return blob_table(p)
@@ -78,16 +78,17 @@ def shared_windows(rows: DataFrame, n: int, scratch: Scratch, window: int) -> Da
     return hits
 
 
-def remove(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept_text): every word covered by a repeated window removed.
 
     A window is repeated if its word sequence also starts in a document with a
     smaller id; all windows are judged on the input. Null and empty texts have
     no words; a null id counts as larger than all others; rows with one id do
     not repeat each other. ``kept_text`` joins the kept words by one space (null
-    if not ``keep_text``).
+    if not ``keep_text``). The result reads tables of ``scratch``; whoever passes
+    one closes it afterwards.
     """
-    scratch = Scratch(docs.sparkSession, "substrings")
+    scratch = scratch or Scratch(docs.sparkSession, "substrings")
     rows, n = keyed(docs, id_col, text_col, scratch)
     hits = shared_windows(rows, n, scratch, window)
 

@@ -239,16 +239,17 @@ def repeats(rows: DataFrame, n: int, scratch: Scratch, length: int) -> tuple[Dat
     return settled.where(F.col("status") == CERTAIN).select("rk", "bucket", "pos", "count"), alone.select("rk", F.pmod("rk", F.lit(n)).alias("bucket"), "pos", "count")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept): every byte of a repeated ``length``-byte string removed.
 
     A string is repeated if it starts at another position anywhere, same
     document included; all are judged on the input, overlaps count, and none
     crosses documents. ``n_spans`` counts maximal removed runs; ``kept`` has the
     remaining bytes (null if not ``keep_bytes``). Null texts are empty; rows
-    with equal id and text are documents of their own.
+    with equal id and text are documents of their own. The result reads tables of
+    ``scratch``; whoever passes one closes it afterwards.
     """
-    scratch = Scratch(docs.sparkSession, "suffixes")
+    scratch = scratch or Scratch(docs.sparkSession, "suffixes")
     rows, n = keyed(docs, id_col, text_col, scratch)
     certain, singles = repeats(rows, n, scratch, length)
 

@@ -15,12 +15,15 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20  # text bytes handled at once; a longer document is a chunk of its own
 
-#: Two families of hashes; both together name a string with 128 bits.
+#: Two families of hashes; both together name a string with 125 bits. The first is a polynomial modulo the prime 2**61 - 1, the second one
+#: modulo 2**64: strings that repeat themselves with letters exchanged at all dyadic scales fool any base of the second, so it never decides alone.
 FAMILIES = (0, 1)
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in FAMILIES]
-_BASE = [np.uint64(0x9E3779B97F4A7C13), np.uint64(0xC2B2AE3D27D4EB4B)]  # odd and 3 mod 4
-_BASE_INV = [np.uint64(pow(int(b), -1, 2**64)) for b in _BASE]
+_PRIME = np.uint64(2**61 - 1)
+_PRIME_BASE = 0x1B873593CC9E2D51
+_LOW = np.uint64(2**31 - 1)
+_FOLD = 1 << 24  # bytes that the sums of the first family hold without a carry out of 64 bits
+_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0xC2B2AE3D27D4EB4B)
 _NGRAM = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 _codes = np.arange(256)
@@ -30,19 +33,51 @@ SPACE_RULE = ~((_codes == 32) | ((_codes >= 9) & (_codes <= 13)))
 ALNUM_RULE = ((_codes >= 48) & (_codes <= 57)) | ((_codes >= 97) & (_codes <= 122)) | (_codes >= 128)
 LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, ...]] = {}
 
 
-def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The family's base and its inverse (mod 2**64) to the powers 0..n."""
+def _reduced(v: np.ndarray) -> np.ndarray:
+    """Modulo the prime, from any 64 bits."""
+    v = (v & _PRIME) + (v >> np.uint64(61))
+    return np.where(v >= _PRIME, v - _PRIME, v)
+
+
+def _times_2_31(v: np.ndarray) -> np.ndarray:
+    return (v >> np.uint64(30)) + ((v & np.uint64(2**30 - 1)) << np.uint64(31))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it."""
+    shift = np.uint64(31)
+    a1, a0, b1, b0 = a >> shift, a & _LOW, b >> shift, b & _LOW
+    middle = _times_2_31(_reduced(a1 * b0 + a0 * b1))
+    return _reduced(_reduced(np.uint64(2) * a1 * b1 + middle) + _reduced(a0 * b0))
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = times(out[:m], np.full(m, pow(base, k, int(_PRIME)), np.uint64))
+        k *= 2
+    return out
+
+
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, ...]:
+    """The family's powers 0..n: low and high half of the base's (the base's alone in the second family), and the inverse's."""
     if family not in _powers or len(_powers[family][0]) <= n:
         size = max(n, CHUNK_BYTES + 1024) + 1
-        pair = []
-        for base in (_BASE[family], _BASE_INV[family]):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        _powers[family] = tuple(pair)
+        if family == 0:
+            up, down = _prime_powers(_PRIME_BASE, size), _prime_powers(pow(_PRIME_BASE, -1, int(_PRIME)), size)
+            _powers[0] = (up & _LOW, up >> np.uint64(31), down)
+        else:
+            pair = []
+            for base in (_BASE, np.uint64(pow(int(_BASE), -1, 2**64))):
+                p = np.full(size, base, np.uint64)
+                p[0] = 1
+                pair.append(np.multiply.accumulate(p))
+            _powers[1] = tuple(pair)
     return _powers[family]
 
 
@@ -138,19 +173,34 @@ def word_codes(w: Words) -> np.ndarray:
     return word_strings(w).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def prefix_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
-    """Sums S with ``span hash = (S[end] - S[start]) * base**-start``."""
-    up, _ = powers(len(data), family)
-    s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[family][data] * up[: len(data)], out=s[1:])
-    return s
+def prefix_sums(data: np.ndarray, family: int = 0) -> tuple[np.ndarray, ...]:
+    """Running sums of the bytes times the family's powers, from which spans have their hashes."""
+    out, n = [], len(data)
+    values = _BYTE[data] if family else data.astype(np.uint64)
+    for up in powers(n, family)[:-1]:
+        s = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=s[1:])
+        out.append(s)
+    return tuple(out)
+
+
+def _between(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums over spans of at most ``_FOLD`` bytes modulo the prime."""
+    low, high = (s[end] - s[start] for s in sums)
+    return _reduced(_reduced(low) + _times_2_31(_reduced(high)))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None, family: int = 0) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: tuple[np.ndarray, ...] | None = None, family: int = 0) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes."""
     sums = prefix_sums(data, family) if sums is None else sums
-    _, down = powers(len(data), family)
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    down, size = powers(len(data), family)[-1][start], (end - start).astype(np.uint64)
+    if family:
+        return mix((sums[0][end] - sums[0][start]) * down + size)
+    total = _between(sums, start, np.minimum(end, start + _FOLD))
+    for k in np.flatnonzero(size > _FOLD):  # what is longer is added up in parts
+        parts = np.arange(start[k], end[k], _FOLD)
+        total[k] = sum(_between(sums, parts, np.minimum(parts + _FOLD, end[k])).tolist()) % int(_PRIME)
+    return mix(times(total, down) + size * _NGRAM[0])
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
