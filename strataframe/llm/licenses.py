@@ -1,12 +1,15 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
-A candidate block is a stretch of words, across line breaks, where a template
-can be at all: it has a word without which more of the template's words are
-missing than the tolerance allows, and enough of the others around it. Each
-block is compressed alone and with each of its templates as zstandard raw
-dictionary. Templates are ranked by the bytes saved; the winners - those near
-the greatest saving - are confirmed by their exact wording differences (words
-inserted, deleted or replaced), and the one with the fewest stays.
+A candidate block is a stretch of words, across line breaks, where some
+template can be at all: it has a word without which more of the template's
+words are missing than the tolerance allows, and enough of the others around
+it. Nothing is aligned to form it. Each block is compressed alone and with
+every template as zstandard raw dictionary, and the templates are ranked by the
+bytes saved. The winners - those near the greatest saving - are confirmed by
+their exact wording differences (words inserted, deleted or replaced): the
+stretches with the fewest stay. Where no winner is confirmed, the next in rank
+are tried, as long as the block has words enough for one; what a block has
+left between hits is a block again.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections import Counter
-from heapq import heappop, heappush
 
 import pyarrow as pa
 import zstandard
@@ -97,6 +99,23 @@ def stretches(block: list[str], template: list[str], limit: int) -> list[tuple[i
     return out
 
 
+def _blocks(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Parts that overlap, together."""
+    out, end = [], -1
+    for part in parts:
+        if part[0] >= end:
+            out.append([])
+        out[-1].append(part)
+        end = max(end, part[1])
+    return out
+
+
+def _beside(taken: list[tuple[int, int]], a: int) -> list[tuple[int, int]]:
+    """The stretches before and after a place; ``taken`` is sorted and without overlaps."""
+    at = bisect_left(taken, (a, a))
+    return taken[max(0, at - 1) : at + 1]
+
+
 def split_differences(cost: int, length: int, m: int) -> tuple[int, int]:
     """(missing, other) words of a stretch of ``length`` words against a template of ``m``."""
     return (cost + m - length) // 2, (cost + length - m) // 2
@@ -126,96 +145,90 @@ class Template:
 
 
 class Scanner:
-    """Every template that can be in a text is compressed with and aligned; ranking decides which of them stays."""
+    """Blocks are formed, compressed with every template, and the templates confirmed in order of what they save."""
 
     def __init__(self, templates: dict[str, str], tolerance: float):
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.templates = [Template(name, text, tolerance) for name, text in sorted(templates.items())]
-        self.reach = max((t.reach for t in self.templates), default=0)
         self.seeds: dict[str, list[int]] = {}
         for k, t in enumerate(self.templates):
             for w in t.seeds:
                 self.seeds.setdefault(w, []).append(k)
-        self.known: dict[tuple, tuple[int, int]] = {}
-
-    def saved(self, text: str, k: int) -> tuple[int, int]:
-        """(bytes saved with the template as dictionary, bytes without it) of the compressed block."""
-        if (text, k) not in self.known:
-            if len(self.known) > 10_000:
-                self.known.clear()
-            raw = text.encode("utf-8", "surrogatepass")
-            alone = len(self.plain.compress(raw))
-            self.known[text, k] = (alone - len(self.templates[k].packed.compress(raw)), alone)
-        return self.known[text, k]
-
-    def candidates(self, own: list[str], low: int, high: int):
-        """(template, differences, start, end) of the stretches inside own[low:high]."""
+
+    def saved(self, raw: bytes, k: int, alone: int) -> int:
+        """Bytes that the template as dictionary saves of a compressed block, which takes ``alone`` without it."""
+        return alone - len(self.templates[k].packed.compress(raw))
+
+    def regions(self, own: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
+        """(start, end, template) of the parts of own[low:high] that have words enough for a template, in order."""
         at: dict[int, list[int]] = {}
         for p in range(low, high):
             for k in self.seeds.get(own[p], ()):
                 at.setdefault(k, []).append(p)
+        out = []
         for k, places in at.items():
-            t, regions = self.templates[k], []
+            t, parts = self.templates[k], []
             for p in places:  # a stretch with this word is inside
                 a, b = max(low, p - t.reach + 1), min(high, p + t.reach)
-                if regions and a <= regions[-1][1]:
-                    regions[-1][1] = b
+                if parts and a <= parts[-1][1]:
+                    parts[-1][1] = b
                 else:
-                    regions.append([a, b])
-            for a, b in regions:
+                    parts.append([a, b])
+            for a, b in parts:
                 have = Counter(own[a:b])
                 if sum(min(c, have[w]) for w, c in t.counts.items()) >= len(t.words) - t.limit:
-                    for cost, start, end in stretches(own[a:b], t.words, t.limit):
-                        yield k, cost, a + start, a + end
+                    out.append((a, b, k))
+        return sorted(out)
+
+    def ranked(self, raw: bytes) -> list[tuple[int, int]]:
+        """(bytes saved, template) of every template, the greatest saving first."""
+        alone = len(self.plain.compress(raw))
+        return sorted(((self.saved(raw, k, alone), k) for k in range(len(self.templates))), key=lambda x: (-x[0], x[1]))
+
+    def confirmed(self, own: list[str], ranking: list[tuple[int, int]], parts: list[tuple[int, int, int]]) -> list[tuple]:
+        """The stretches of the first winners that are confirmed, those with the fewest differences: (differences, -words, name, start, end, template)."""
+        order = [(less, k) for less, k in ranking if any(t == k for _, _, t in parts)]
+        while order:
+            least = order[0][0] * WINNERS if order[0][0] > 0 else order[-1][0]
+            winners, order = [k for less, k in order if less >= least], [x for x in order if x[0] < least]
+            found = []
+            for a, b, k in parts:
+                if k in winners:
+                    t = self.templates[k]
+                    found += [(cost, -len(t.words), t.name, a + x, a + y, k) for cost, x, y in stretches(own[a:b], t.words, t.limit)]
+            if found:
+                found.sort()
+                return [f for f in found if f[0] == found[0][0]]
+        return []
 
     def hits(self, text: str) -> list[tuple]:
-        """(rank, start in the lowered text, license, reduction, different, missing) of the stretches that stay, in their order.
-
-        The block with the greatest saving and the winners that overlap it:
-        the one with the fewest differences stays (then the longer template,
-        the greater saving, the name), and so on with what overlaps none that stays.
-        """
+        """(rank, start in the lowered text, license, reduction, different, missing) of the stretches that stay, in their order."""
         text = text.lower()
         own = _WORD.findall(text)
         if not any(w in self.seeds for w in own):
             return []
-        heap, spans, taken, out = [], [], [], []
-
-        def add(low: int, high: int) -> None:
-            for k, cost, a, b in self.candidates(own, low, high):
-                if not spans:
-                    spans.extend(m.span() for m in _WORD.finditer(text))
-                less, alone = self.saved(text[spans[a][0] : spans[b - 1][1]], k)
-                heappush(heap, (-less, cost, -len(self.templates[k].words), self.templates[k].name, a, b, alone))
-
-        def free(a: int, b: int) -> bool:
-            at = bisect_left(taken, (a, a))
-            return not (at < len(taken) and b > taken[at][0] or at and taken[at - 1][1] > a)
-
-        add(0, len(own))
-        while heap:
-            top = heappop(heap)
-            if not free(top[4], top[5]):
-                continue
-            aside, best = [], (top[1], top[2], top[0], *top[3:])
-            while heap and -heap[0][0] >= -top[0] * WINNERS:
-                other = heappop(heap)
-                aside.append(other)
-                if other[4] < top[5] and top[4] < other[5] and free(other[4], other[5]):
-                    best = min(best, (other[1], other[2], other[0], *other[3:]))
-            for other in [top, *aside]:
-                heappush(heap, other)
-            cost, m, less, name, a, b, alone = best
-            at = bisect_left(taken, (a, a))
-            after = taken[at][0] if at < len(taken) else len(own)
-            insort(taken, (a, b))
-            missing, other = split_differences(cost, b - a, -m)
-            out.append(((less, cost, m, name), spans[a][0], name, -less / max(1, alone), other, missing))
-            add(b, min(after, b + self.reach))  # stretches that the best at their end had hidden
+        spans, out, open_ = [], [], [(0, len(own))]
+        raw = lambda a, b: text[spans[a][0] : spans[b - 1][1]].encode("utf-8", "surrogatepass")
+        while open_:
+            parts = self.regions(own, *open_.pop())
+            if parts and not spans:
+                spans = [m.span() for m in _WORD.finditer(text)]
+            for block in _blocks(parts):
+                low, high = block[0][0], max(b for _, b, _ in block)
+                taken: list[tuple[int, int]] = []
+                for cost, m, name, a, b, k in self.confirmed(own, self.ranked(raw(low, high)), block):
+                    if all(b <= x or y <= a for x, y in _beside(taken, a)):
+                        insort(taken, (a, b))
+                        piece = raw(a, b)
+                        alone = len(self.plain.compress(piece))
+                        missing, other = split_differences(cost, b - a, -m)
+                        out.append(((cost, m, name), spans[a][0], name, self.saved(piece, k, alone) / max(1, alone), other, missing))
+                if taken:
+                    open_ += [(x, y) for x, y in zip([low, *(b for _, b in taken)], [*(a for a, _ in taken), high], strict=True) if x < y]
         return sorted(out, key=lambda hit: hit[1])
 
     def block(self, text: str) -> tuple | None:
-        """(license, reduction, different, missing) of the best confirmed stretch."""
+        """(license, reduction, different, missing) of the confirmed stretch with the fewest differences."""
         found = self.hits(text)
         return min(found)[2:] if found else None
 
@@ -233,7 +246,9 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     """``docs`` with ``license_hits``: line number (of the first word, from 0), license, size reduction, and the exact wording differences.
 
     A hit is a stretch of words, across line breaks, within ``tolerance`` of a
-    template's words; a text can have many, and of overlapping ones one stays.
+    template's words; a text can have many, and of overlapping ones one stays:
+    that of the template that saves most of the block, or of those that save
+    nearly as much the one with the fewest differences.
     Null and empty texts have no hits. An existing column of that name is replaced.
     """
     templates = templates or TEMPLATES

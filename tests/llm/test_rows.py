@@ -405,6 +405,25 @@ def test_license_hits_are_those_of_a_search_without_short_cuts():
             assert any(a < y and x < b for x, y in taken), (text, found, hits)
 
 
+def test_license_ranking_decides_between_an_edited_long_text_and_an_exact_short_one(monkeypatch):
+    """BSD-3-Clause with three words changed holds BSD-notice word for word: what compression saves decides, and without it the short one stays."""
+    text = licenses.TEMPLATES["BSD-3-Clause"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "OUR TEAM").replace("PROFITS", "GAINS")
+    assert [h[1] for h in license_hits(text)] == ["BSD-3-Clause"]
+    monkeypatch.setattr(licenses.Scanner, "saved", lambda self, raw, k, alone: 1)
+    assert "BSD-notice" in [h[1] for h in license_hits(text)]
+
+
+def test_a_text_of_many_notices_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (500, 2000):
+        text, began = "\n".join([licenses.TEMPLATES["MIT"], "Licensed under CC BY-NC 4.0.", "All rights reserved."][k % 3] for k in range(n)), time.process_time()
+        assert len(license_hits(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
 def test_a_folder_that_not_all_machines_share_is_refused():
     from types import SimpleNamespace
 
