@@ -152,6 +152,8 @@ class Packer:
         yield from self._packed(bucket, cols, self.kind, self.width)
 
     def _packed(self, bucket: np.ndarray, cols: dict[str, np.ndarray], kind: int, width: dict[str, int] | None) -> Iterator[pa.RecordBatch]:
+        if not len(bucket):  # all of them are held
+            return
         key = bucket // self.per
         if self.per > 1:
             cols = cols | {"_f": bucket}
