@@ -113,6 +113,56 @@ def test_the_last_round_of_large_cells_brings_together_every_pair_that_can_link(
                 assert (a, b) in together
 
 
+def two_shingle_cells(spark, sets, buckets=7):
+    """The last round's cells of sets that all have the first hash of the first one among their first; components are the sets themselves."""
+    from strataframe.llm.cluster import Scratch
+
+    levels = np.zeros(1 << near.SKETCH_BITS, np.uint8)
+    cell = int(near._large_name(sets[0][:1], sets[0][:1] % np.uint64(buckets))[0])
+    large = spark.createDataFrame([(cell, k, len(s)) for k, s in enumerate(sets)], "cell long, node long, n long")
+    hashes = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, hashes binary")
+    cells = {}
+    for x in near._last(large, hashes, None, levels, buckets, Scratch(spark, "test")).collect():
+        cells.setdefault(x.cell, set()).add(x.node)
+    return cells
+
+
+def test_sets_that_share_one_shingle_meet_by_two(spark):
+    r = np.random.default_rng(5)
+    hashes = lambda n: np.sort(np.append(r.integers(2**32, 2**64, n, dtype=np.uint64), np.uint64(12345)))
+    work = []
+    for n in (300, 1200):  # nothing else is shared: no pair is tried
+        cells = two_shingle_cells(spark, [hashes(30) for _ in range(n)])
+        work.append(sum(len(c) ** 2 for c in cells.values()))
+    assert work[1] <= 4 * work[0] + 100 and work[1] < 1200
+    base = hashes(40)
+    sets = [hashes(40) for _ in range(50)] + [np.sort(np.append(np.delete(base, r.integers(1, 41, k)), r.integers(2**32, 2**64, k, dtype=np.uint64))) for k in range(9)]
+    together = {(a, b) for c in two_shingle_cells(spark, sets).values() for a in c for b in c}
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    assert len(linked) > 5 and all(x in together for x in linked)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_with_small_cells_at_most(spark, monkeypatch, seed):
+    """Nearly every prefix shingle makes a large cell, and pairs of shingles do too."""
+    monkeypatch.setattr(near, "MAX_CELL", 3)
+    r = random.Random(seed)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(9)) for k in range(5)]
+    rows = []
+    for k in range(90):
+        parts = r.sample(phrases, r.choice([1, 2, 3])) + [" ".join(f"u{r.randrange(12)}" for _ in range(r.choice([0, 1, 3])))]
+        rows.append((k, " ".join(parts)))
+    sets = {d: shingles(t) for d, t in rows}
+    least = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = min(least[a], least[b])
+    got = {x.id: x.component_id for x in near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == least
+
+
 def test_blocks_between_jumps_in_size_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near, "MAX_CELL", 4)
     rows, families = [], []
