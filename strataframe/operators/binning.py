@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,22 @@ def normalise(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame
     ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     own = df.join(ends, keys) if keys else df.join(F.broadcast(ends))
     return own.withColumn(out, F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+
+
+def upper_bin(value: str | Column, n: int) -> Column:
+    """Bin 1..n of a value from 0 to 1, where an edge belongs to the bin below it and 0 to the first; within 1e-9 of an edge is on it."""
+    return F.greatest(F.lit(1), F.least(F.lit(n), F.ceil(F.round(_c(value) * n, 9)).cast("int")))
+
+
+def anomaly_by_bin(df: DataFrame, keys: list[str], anomaly: str, volume: str, t_bin: str, s_bin: str, n: int, cut: Callable[[DataFrame], DataFrame], neighbours: int = 10, sigma: float = 2.0) -> DataFrame:
+    """(keys, t_bin, s_bin, anomaly) for all n x n bins: volume-weighted means; empty bins take the inverse-distance mean of the
+    ``neighbours`` nearest (ties at the last distance count), then all are smoothed by a Gaussian of ``sigma`` bins with reflecting ends."""
+    from strataframe.operators import fill, stencil
+
+    means = df.groupBy(*keys, (F.col(t_bin) - 1).alias("j"), (F.col(s_bin) - 1).alias("i")).agg(wavg(anomaly, volume).alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    bins = means.select(*keys).distinct().withColumn("j", every).withColumn("i", every)
+    dense = cut(bins.join(means, [*keys, "j", "i"], "left"))
+    filled = fill.nearest_weighted(dense, keys, "v", neighbours, None, cut)
+    smooth = stencil.smooth(stencil.smooth(filled, "v", [*keys, "j"], "i", n, sigma), "v", [*keys, "i"], "j", n, sigma)
+    return smooth.select(*keys, (F.col("j") + 1).alias("t_bin"), (F.col("i") + 1).alias("s_bin"), F.col("v").alias("anomaly"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -49,29 +50,49 @@ def fill_all(df: DataFrame, keys: list[str], value: str, cut: Callable[[DataFram
         df = cut(extend(df, keys, value, 3, cut, every=99))
 
 
-def nearest_weighted(df: DataFrame, keys: list[str], value: str, k: int, radius: int) -> DataFrame:
+def nearest_weighted(df: DataFrame, keys: list[str], value: str, k: int, radius: int | None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Null cells take the inverse-distance mean of their k nearest valid cells (ties at the k-th distance all count).
 
-    Cells meet within ``radius`` index steps; a cell without k valid ones in
-    that circle stays null.
+    Cells meet in rings of index steps that widen for those not yet done, up to
+    ``radius``; a cell without k valid ones in that circle stays null. Without a
+    radius they widen to the whole plane, and where it has fewer than k valid
+    cells all of them count; ``cut`` then writes what a ring leaves.
     """
     valid = df.where(F.col(value).isNotNull()).select(*keys, F.col("j").alias("_j"), F.col("i").alias("_i"), F.col(value).alias("_v"))
-    holes, filled, ring = df.where(F.col(value).isNull()).select(*keys, "j", "i"), None, min(radius, 2)
+    holes, filled = df.where(F.col(value).isNull()).select(*keys, "j", "i"), None
+    if radius is None:
+        wide = df.agg(F.max("j") - F.min("j"), F.max("i") - F.min("i")).first()
+        far = math.ceil(math.hypot(wide[0] or 0, wide[1] or 0)) + 1
+    else:
+        far = radius
+    ring = min(far, 2)
     while True:  # most holes end in the first ring; k cells within a ring are the nearest of all
         steps = [(a, b) for a in range(-ring, ring + 1) for b in range(-ring, ring + 1) if 0 < a * a + b * b <= ring * ring]
-        offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a, b in steps]))
+        offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dj"), F.lit(b).alias("di")) for a, b in steps])) if len(steps) < 500 else _circle(ring)
         near = holes.withColumn("_o", offsets).withColumns({"_j": F.col("j") + F.col("_o.dj"), "_i": F.col("i") + F.col("_o.di")})
         near = near.withColumn("_d", F.sqrt((F.col("_o.dj") ** 2 + F.col("_o.di") ** 2).cast("double"))).join(valid, [*keys, "_j", "_i"])
         near = near.withColumn("_r", F.rank().over(Window.partitionBy(*keys, "j", "i").orderBy("_d"))).where(F.col("_r") <= k)
         got = near.groupBy(*keys, "j", "i").agg((F.sum(F.col("_v") / F.col("_d")) / F.sum(1 / F.col("_d"))).alias("_fill"), F.count(F.lit(1)).alias("_n"))
-        got = got.where(F.col("_n") >= k).drop("_n")
+        got = (got if radius is None and ring == far else got.where(F.col("_n") >= k)).drop("_n")
+        got = cut(got) if cut else got
         filled = got if filled is None else filled.unionByName(got)
-        if ring == radius:
+        if ring == far:
             break
-        holes, ring = holes.join(got, [*keys, "j", "i"], "left_anti"), min(radius, 2 * ring)
+        holes, ring = holes.join(got, [*keys, "j", "i"], "left_anti"), min(far, 2 * ring)
+        if cut:
+            holes = cut(holes)
+            if radius is None and holes.isEmpty():
+                break
     return df.join(filled, [*keys, "j", "i"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 
+def _circle(ring: int):
+    """The steps of a wide circle, made on the executors."""
+    side = F.sequence(F.lit(-ring), F.lit(ring))
+    pairs = F.flatten(F.transform(side, lambda a: F.transform(side, lambda b: F.struct(a.alias("dj"), b.alias("di")))))
+    return F.explode(F.filter(pairs, lambda p: (p["dj"] * p["dj"] + p["di"] * p["di"] <= ring * ring) & ((p["dj"] != 0) | (p["di"] != 0))))
+
+
 def along(df: DataFrame, keys: list[str], value: str, axis: str) -> DataFrame:
     """Null values take the last valid one before them along an axis, else the first one after."""
     w = Window.partitionBy(*keys).orderBy(axis)

@@ -230,6 +230,11 @@ class Inputs:
             raise ValueError(f"{d.name} needs {what}")
         return out
 
+    def in_mass(self, d: Diagnostic) -> Column:
+        """Whether a cell belongs to a water mass, bounds included."""
+        t, s, (a, b, c, e) = self.of("temp"), self.of("salt"), d.place
+        return reduce(Column.__and__, [x for x in (t >= a if a is not None else None, t <= b if b is not None else None, s >= c if c is not None else None, s <= e if e is not None else None) if x is not None])
+
     def region(self, d: Diagnostic) -> str:
         """The mask that a diagnostic looks at; one with a box or with bounds of the draft has a mask of its own."""
         if d.kernel.startswith("melt") and d.deep > DEEPEST or d.kernel.startswith("surface") and d.place:
@@ -459,6 +464,42 @@ def run(inp: Inputs, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("value IS NOT NULL").select(inp.time, "name", (F.col("value") * of(0) + of(1)).alias("value"))
 
 
+#: What adds up over the cells of a time, whichever files and batches they come in.
+ADDING = ("average", "integral", "max", "min", "share", "front_max", "water_mass")
+
+
+def partial_sums(inp: Inputs, names: list[str]) -> DataFrame:
+    """(time, name, part, whole, high, low): what some cells add to the named diagnostics.
+
+    Sums of ``part`` and ``whole``, the greatest ``high`` and the least ``low``
+    over all cells give the diagnostics by :func:`from_sums`. Kernels that need
+    a whole column, a neighbour, a point or a line do not add up: an error.
+    """
+    specs = [parse(n) for n in dict.fromkeys(names)]
+    if bad := [d.name for d in specs if d.kernel not in ADDING]:
+        raise ValueError(f"{bad} do not add up over cells")
+    own, sums = inp.cells.join(F.broadcast(inp.levels), "k").join(inp.mask(specs), ["j", "i"]), []  # one row per level
+    for n, d in enumerate(specs):
+        here = (F.col("region") == inp.region(d)) & F.col("z").between(d.deep, d.shallow)
+        x, w = F.when(here, inp.of(d.variable)), F.when(here, F.col(inp.volume))
+        share = {"share": lambda: F.when(x >= d.threshold, w).otherwise(F.when(x.isNotNull(), 0.0)), "water_mass": lambda: F.when(inp.in_mass(d), w).otherwise(0.0)}.get(d.kernel, lambda: x * w)()  # noqa: B023
+        whole = w if d.kernel == "water_mass" else F.when(x.isNotNull(), w)
+        sums += [F.sum(share).alias(f"p{n}"), F.sum(whole).alias(f"w{n}"), F.max(x).alias(f"h{n}"), F.min(x).alias(f"l{n}")]
+    wide = own.groupBy(inp.time).agg(*sums)
+    rows = [F.struct(F.lit(d.name).alias("name"), *[F.col(f"{c}{n}").cast("double").alias(name) for c, name in (("p", "part"), ("w", "whole"), ("h", "high"), ("l", "low"))]) for n, d in enumerate(specs)]
+    return wide.select(inp.time, F.explode(F.array(*rows)).alias("_r")).select(inp.time, "_r.*")
+
+
+def from_sums(sums: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """(keys, name, value) from added-up :func:`partial_sums`."""
+    specs, value = [parse(n) for n in dict.fromkeys(names)], None
+    kinds = {"integral": F.col("part"), "max": F.col("high"), "front_max": F.col("high"), "min": F.col("low"), "share": 100.0 * F.col("part") / F.col("whole"), "water_mass": 100.0 * F.col("part") / F.col("whole")}
+    for d in specs:
+        own = kinds.get(d.kernel, F.col("part") / F.col("whole")) * d.factor + d.offset
+        value = F.when(F.col("name") == d.name, own) if value is None else value.when(F.col("name") == d.name, own)
+    return sums.select(*keys, "name", value.alias("value")).where("value IS NOT NULL")
+
+
 def compute(field: DataFrame, masks: DataFrame, levels: DataFrame, names: list[str], time: str = "t", weight: str = "w", variables: dict[str, str | Column] | None = None, **more) -> DataFrame:
     """:func:`run` over a field alone, or with the further :class:`Inputs` that a name asks for."""
     return run(Inputs(field, masks, levels, time=time, volume=weight, variables=variables or {}, **more), names)

@@ -13,7 +13,7 @@ from strataframe.plans import diagnostics
 from strataframe.plans.core import TIE, query, rounded
 from strataframe.plans.cuts import cutter, shared_dir
 from strataframe.plans.spaces import _HIT, _P, NAMES, _points
-from strataframe.sources import ingest
+from strataframe.sources import binary, ingest
 from strataframe.sources import views as V
 from strataframe.streaming import incremental
 
@@ -47,6 +47,16 @@ def a8_record_ranges(spark, sf):
     return ingest.record_ranges(V.series(spark, sf), _RUN)
 
 
+@query("SELECT (year(t) - 1992) * 12 + month(t) - 1 AS t, k, j, i, round(x, 6) AS x FROM cells")
+def a9_raw_arrays(spark, sf):
+    """The field written as headerless big-endian arrays, twelve months to a file, and read again by ranges of bytes."""
+    c = V.cells(spark, sf).select(((F.year("t") - 1992) * 12 + F.month("t") - 1).alias("t"), "k", "j", "i", "x")
+    layout, path = binary.Layout("tzyx", {"z": 8, "y": 10, "x": 20}, "x", bits=64), _place(spark, "arrays")
+    binary.write_arrays(c, path, layout, 12)
+    back = binary.read_arrays(spark, path, layout, split_bytes=1 << 16)
+    return rounded(back.where("x IS NOT NULL").select(F.col("t").cast("long").alias("t"), "k", "j", "i", "x"), "x")
+
+
 @query("SELECT year(t) AS year, count(*) AS n, round(sum(w), 2) AS w FROM cells_xy GROUP BY 1")
 def a10_written_field(spark, sf):
     """A field written by year and read again, by partition."""
@@ -416,37 +426,45 @@ def n9_initial_conditions(spark, sf):
 
 # ---------------------------------------------------------------- corrections in property space
 
-_TS = """, n AS (SELECT t, k, j, i, x, year(t) % 2 = 1 AS ref, coalesce((x - min(x) OVER q) / nullif(max(x) OVER q - min(x) OVER q, 0), 0) AS a, coalesce((y - min(y) OVER q) / nullif(max(y) OVER q - min(y) OVER q, 0), 0) AS b FROM cells WINDOW q AS (PARTITION BY year(t) % 2)),
-g AS (SELECT *, CASE WHEN a = 1 THEN 10 ELSE CAST(floor(a * 10) AS INT) + 1 END AS tb, CASE WHEN b = 1 THEN 10 ELSE CAST(floor(b * 10) AS INT) + 1 END AS sb FROM n),
-m AS (SELECT tb, sb, avg(x) FILTER (ref) - avg(x) FILTER (NOT ref) AS d FROM g GROUP BY 1, 2), v AS (SELECT tb, sb, d FROM (SELECT unnest(range(1, 11)) AS tb) u CROSS JOIN (SELECT unnest(range(1, 11)) AS sb) s LEFT JOIN m USING (tb, sb)),
-z AS (SELECT v.tb, v.sb, coalesce(v.d, (SELECT avg(o.d) FROM v o WHERE abs(o.tb - v.tb) + abs(o.sb - v.sb) = 1), 0) AS d FROM v)"""
+_TS = """, c AS (SELECT k, j, i, avg(x) AS cx, avg(y) AS cy FROM cells WHERE year(t) % 2 = 0 GROUP BY 1, 2, 3), e AS (SELECT min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1 FROM c),
+m AS (SELECT year(t) AS year, greatest(1, least(8, CAST(ceil(round((cx - x0) / (x1 - x0) * 8, 9)) AS INT))) AS tb, greatest(1, least(8, CAST(ceil(round((cy - y0) / (y1 - y0) * 8, 9)) AS INT))) AS sb, sum((x - cx) * w) / sum(w) AS d
+  FROM cells JOIN c USING (k, j, i), e WHERE year(t) % 2 = 0 GROUP BY 1, 2, 3),
+b AS (SELECT year, tb, sb, d FROM (SELECT DISTINCT year FROM m) CROSS JOIN (SELECT unnest(range(1, 9)) AS tb) CROSS JOIN (SELECT unnest(range(1, 9)) AS sb) LEFT JOIN m USING (year, tb, sb)),
+q AS (SELECT h.year, h.tb, h.sb, v.d, sqrt(pow(h.tb - v.tb, 2) + pow(h.sb - v.sb, 2)) AS far FROM b h JOIN b v ON v.year = h.year AND h.d IS NULL AND v.d IS NOT NULL QUALIFY rank() OVER (PARTITION BY h.year, h.tb, h.sb ORDER BY far) <= 10),
+f AS (SELECT year, tb, sb, d FROM b WHERE d IS NOT NULL UNION ALL SELECT year, tb, sb, sum(d / far) / sum(1 / far) FROM q GROUP BY 1, 2, 3),
+s AS (SELECT o, exp(-o * o / 8.0) AS g, exp(-o * o / 8.0) / sum(exp(-o * o / 8.0)) OVER () AS w FROM (SELECT unnest(range(-8, 9)) AS o)),
+turn AS (SELECT p, CASE WHEN (p - 1 + o + 16) % 16 < 8 THEN (p - 1 + o + 16) % 16 ELSE 15 - (p - 1 + o + 16) % 16 END + 1 AS source, w FROM (SELECT unnest(range(1, 9)) AS p), s),
+one AS (SELECT year, tb, p AS sb, sum(d * w) AS d FROM f JOIN turn ON source = sb GROUP BY 1, 2, 3), z AS (SELECT year, p AS tb, sb, sum(d * w) AS d FROM one JOIN turn ON source = tb GROUP BY 1, 2, 3)"""
+_BINS = 8
 
 
-def _normalised(spark, sf):
-    c = V.cells(spark, sf).withColumn("ref", F.year("t") % 2 == 1)
-    c = binning.normalise(binning.normalise(c, "x", ["ref"], "a"), "y", ["ref"], "b")
-    return c.withColumns({"tb": binning.bin_of("a", F.lit(0.0), F.lit(1.0), 10), "sb": binning.bin_of("b", F.lit(0.0), F.lit(1.0), 10)})
+def _climatology(c, keys=("k", "j", "i")):
+    """(keys, cx, cy, tb, sb): means over time with the bins of their normalised values."""
+    m = c.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    m = binning.normalise(binning.normalise(m, "cx", [], "_a"), "cy", [], "_b")
+    return m.select(*keys, "cx", "cy", binning.upper_bin("_a", _BINS).alias("tb"), binning.upper_bin("_b", _BINS).alias("sb"))
 
 
-def _bin_anomalies(own):
-    """(tb, sb, d): reference minus model by normalised bin; an empty bin takes the mean of its neighbours, else 0."""
-    m = own.groupBy("tb", "sb").agg((F.avg(F.when(F.col("ref"), F.col("x"))) - F.avg(F.when(~F.col("ref"), F.col("x")))).alias("d"))
-    bins = own.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(10))).alias("tb")).withColumn("sb", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    dense = bins.join(m, ["tb", "sb"], "left").select(F.lit(0).alias("all"), F.col("tb").alias("j"), F.col("sb").alias("i"), "d")
-    return fill.extend_once(dense, ["all"], "d").select(F.col("j").alias("tb"), F.col("i").alias("sb"), F.coalesce("d", F.lit(0.0)).alias("d"))
+def _bin_anomalies(spark, sf):
+    """(year, t_bin, s_bin, anomaly): the model's yearly anomaly from its climatology; even years play the model."""
+    c, cut = V.cells(spark, sf).where(F.year("t") % 2 == 0), cutter(spark)
+    own = c.join(_climatology(c), ["k", "j", "i"]).withColumn("d", F.col("x") - F.col("cx")).withColumn("year", F.year("t"))
+    return binning.anomaly_by_bin(own, ["year"], "d", "w", "tb", "sb", _BINS, cut)
 
 
-@query(_TS + " SELECT CAST(tb AS INT) AS t_bin, CAST(sb AS INT) AS s_bin, round(d, 6) + 0.0 AS anomaly FROM z")
+@query(_TS + " SELECT CAST(year AS INT) AS year, CAST(tb AS INT) AS t_bin, CAST(sb AS INT) AS s_bin, round(d, 6) + 0.0 AS anomaly FROM z")
 def k7_anomaly_by_bin(spark, sf):
-    return rounded(_bin_anomalies(_normalised(spark, sf)).select(F.col("tb").alias("t_bin"), F.col("sb").alias("s_bin"), F.col("d").alias("anomaly")), "anomaly")
+    return rounded(_bin_anomalies(spark, sf), "anomaly")
 
 
-@query(_TS + " SELECT t, k, round(avg(g.x), 6) AS before, round(avg(g.x + z.d), 6) AS after, count(*) AS n FROM g JOIN z USING (tb, sb) WHERE NOT ref GROUP BY 1, 2")
+@query(_TS + """, r AS (SELECT k, j, i, avg(x) AS rx, avg(y) AS ry FROM cells WHERE year(t) % 2 = 1 GROUP BY 1, 2, 3), er AS (SELECT min(rx) AS x0, max(rx) AS x1, min(ry) AS y0, max(ry) AS y1 FROM r),
+n AS (SELECT k, rx, greatest(1, least(8, CAST(ceil(round((rx - x0) / (x1 - x0) * 8, 9)) AS INT))) AS tb, greatest(1, least(8, CAST(ceil(round((ry - y0) / (y1 - y0) * 8, 9)) AS INT))) AS sb FROM r, er)
+SELECT CAST(year AS INT) AS year, k, round(avg(rx), 6) AS before, round(avg(rx + d), 6) AS after, count(*) AS n FROM n JOIN z USING (tb, sb) GROUP BY 1, 2""")
 def p7_property_correction(spark, sf):
-    """The model corrected by the anomaly of each value's bin."""
-    own = _normalised(spark, sf)
-    fixed = own.where("NOT ref").join(_bin_anomalies(own), ["tb", "sb"])
-    return rounded(fixed.groupBy("t", "k").agg(F.avg("x").alias("before"), F.avg(F.col("x") + F.col("d")).alias("after"), F.count(F.lit(1)).alias("n")), "before", "after")
+    """The reference's climatology with the model's anomaly of each year, looked up by the reference's own normalised values; odd years play the reference."""
+    own = _climatology(V.cells(spark, sf).where(F.year("t") % 2 == 1))
+    fixed = own.join(_bin_anomalies(spark, sf), (F.col("tb") == F.col("t_bin")) & (F.col("sb") == F.col("s_bin")))
+    return rounded(fixed.groupBy("year", "k").agg(F.avg("cx").alias("before"), F.avg(F.col("cx") + F.col("anomaly")).alias("after"), F.count(F.lit(1)).alias("n")), "before", "after")
 
 
 # ---------------------------------------------------------------- grid checks
@@ -482,11 +500,15 @@ def _by_segment(spark, sf):
 
 @query("SELECT year(t) AS segment, t, round(sum(x * w) / sum(w), 6) AS mean, count(*) AS n FROM cells_xy GROUP BY 1, 2")
 def t1_appended_series(spark, sf):
-    """A series built by appending segments; the last batch comes twice and changes nothing."""
+    """A series added up from batches that each have some cells of every segment; one batch comes twice and changes nothing, some are compacted."""
     c, path = _by_segment(spark, sf), _place(spark, "series")
-    for batch in (c.where("segment <= 1998"), c.where("segment > 1998"), c.where("segment > 1998")):
-        incremental.append_segment(batch, path, _means)
-    return rounded(spark.read.parquet(path), "mean")
+    key, sums = ["segment", "t"], ["part", "whole", "n"]
+    for batch in (0, 1, 1, 2, 3):
+        own = c.where(F.pmod(F.col("i") + F.col("j"), F.lit(4)) == batch)
+        incremental.append_batch(own.groupBy(*key).agg(F.sum(F.col("x") * F.col("w")).alias("part"), F.sum("w").alias("whole"), F.count(F.lit(1)).alias("n")), path, batch)
+        if batch == 2:
+            incremental.compact(spark, path, key, sums)
+    return rounded(incremental.merged(spark, path, key, sums).select(*key, (F.col("part") / F.col("whole")).alias("mean"), "n"), "mean")
 
 
 @query("SELECT year(t) AS segment, count(DISTINCT t) AS n, true AS refused FROM cells_xy WHERE year(t) IN (1996, 1997, 1999) GROUP BY 1")
@@ -523,15 +545,15 @@ UNION ALL SELECT t, 'middle_y_max', round(max(y), 6) FROM own WHERE region = 'mi
 UNION ALL SELECT t, 'two_part_x_above_5', round(100 * sum(CASE WHEN x >= 5 THEN w ELSE 0 END) / sum(w), 6) FROM own WHERE region = 'two_part' GROUP BY t
 UNION ALL SELECT t, 'narrow_y_avg_btw_0_150m', round(sum(y * w) / sum(w), 6) FROM own WHERE region = 'narrow' AND z BETWEEN -150 AND 0 GROUP BY t) SELECT year(t) AS segment, t, name, value FROM v""")
 def t4_all_segments(spark, sf):
-    """All diagnostics of all segments, by a stream over the segments' files."""
+    """All diagnostics of all segments, by a stream over files of which each has some cells of several segments."""
     source, path, state = _place(spark, "segments"), _place(spark, "diagnostics"), _place(spark, "state")
     c = V.cells(spark, sf).withColumn("segment", F.year("t"))
-    ingest.write_field(c, source, ["segment"])
-    masks = regions.restrict(V.grid_xy(spark, sf), V.regions(spark)).select("region", "j", "i")
-    levels = V.levels(spark, sf)
+    c.repartition(5, "i", "j").write.parquet(source)
+    masks, levels = regions.restrict(V.grid_xy(spark, sf), V.regions(spark)).select("region", "j", "i"), V.levels(spark, sf)
 
-    def compute(batch):
-        return diagnostics.compute(batch, masks, levels, NAMES).withColumn("segment", F.year("t"))
+    def partial(batch):
+        return diagnostics.partial_sums(diagnostics.Inputs(batch, masks, levels), NAMES).withColumn("segment", F.year("t"))
 
-    incremental.follow(spark, source, c.schema, path, state, compute).awaitTermination()
-    return rounded(spark.read.parquet(path).select("segment", "t", "name", "value"), "value")
+    incremental.follow(spark, source, c.schema, path, state, partial, files=2).awaitTermination()
+    key = ["segment", "t"]
+    return rounded(diagnostics.from_sums(incremental.merged(spark, path, [*key, "name"], ["part", "whole"], ["high"], ["low"]), NAMES, key), "value")

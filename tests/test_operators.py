@@ -181,16 +181,29 @@ def test_aliases(spark):
     assert [(r.id, r.temp, r.salt) for r in out.orderBy("id").collect()] == [(1, 2.0, None), (2, 3.0, None)]
 
 
-def test_segments_are_added_once(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = lambda s, v: spark.createDataFrame([(s, 1, v), (s, 2, v + 1)], "segment int, n int, v double")
-    compute = lambda df: df.groupBy("segment").agg(F.avg("v").alias("v"))
-    for s in (1, 2):
-        rows(s, float(s)).coalesce(1).write.mode("append").parquet(src)
-        incremental.follow(spark, src, rows(1, 0.0).schema, out, str(tmp_path / "ck"), compute).awaitTermination()
-    for _ in range(2):  # a replay changes nothing
-        incremental.append_segment(rows(2, 2.0), out, compute)
-        assert sorted((r.segment, r.v) for r in spark.read.parquet(out).collect()) == [(1, 1.5), (2, 2.5)]
+def test_segments_split_over_batches_add_up_once(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = [(s, n, float(10 * s + n)) for s in (1, 2, 3) for n in range(6)]
+    schema, key, sums = "segment int, n int, v double", ["segment"], ["v", "rows"]
+    partial = lambda df: df.groupBy("segment").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("rows"))
+    total = lambda: sorted((r.segment, r.v, r.rows) for r in incremental.merged(spark, out, key, sums).collect())
+    want = [(s, sum(10.0 * s + n for n in range(6)), 6) for s in (1, 2, 3)]
+    for part in range(3):  # every file has cells of all segments, every run of the stream its own batches
+        spark.createDataFrame([r for r in rows if r[1] % 3 == part], schema).repartition(2).write.mode("append").parquet(src)
+        incremental.follow(spark, src, spark.createDataFrame([], schema).schema, out, ck, partial, files=1).awaitTermination()
+    assert total() == want and len(incremental.committed(spark, out)[0]) > 3
+    folders, last = incremental.committed(spark, out)
+    batch = int(folders[-1].rpartition("=")[2])
+    incremental.append_batch(spark.read.parquet(folders[-1]), str(tmp_path / "copy"), batch)
+    incremental.append_batch(spark.read.parquet(str(tmp_path / "copy")), out, batch)  # the same batch again
+    assert total() == want
+    (tmp_path / "out" / "batch=99").mkdir()  # a batch that never ended
+    spark.createDataFrame([(1, 1e9, 5)], "segment int, v double, rows long").write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/batch=99")
+    assert total() == want
+    incremental.compact(spark, out, key, sums)
+    assert total() == want and len(incremental.committed(spark, out)[0]) == 1
+    incremental.append_batch(spark.createDataFrame([(2, 100.0, 1)], "segment int, v double, rows long"), out, last + 1)
+    assert total()[1] == (2, want[1][1] + 100, 7)
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -221,6 +234,11 @@ def test_output_is_guarded(spark, tmp_path):
         incremental.append_guarded(rows, path, same)
     with pytest.raises(ValueError):
         incremental.append_guarded(rows, path, lambda b: same(b).withColumn("low", F.lit(2.0)), [2], ["low"])
+    wider = lambda b: same(b).unionByName(same(b).withColumn("low", F.lit(2.0)))
+    incremental.append_guarded(rows.where("segment = 9"), str(tmp_path / "two"), wider, None, None)
+    incremental.append_segment(rows.where("segment = 1"), str(tmp_path / "two"), wider)
+    with pytest.raises(ValueError):  # a part of the axis is not the axis
+        incremental.append_guarded(rows, str(tmp_path / "two"), same, [2], ["low"])
     incremental.append_guarded(rows, path, same, [2], ["low"])
     assert sorted(r.segment for r in spark.read.parquet(path).collect()) == [1, 2]
 
@@ -257,3 +275,17 @@ def test_running_total_in_blocks(spark):
     rows = [(k, k % 7 + 1) for k in range(50)]
     got = {r.t: r.total for r in stencil.running_total(spark.createDataFrame(rows, "t int, v long"), "v", "t", F.floor(F.col("t") / 9)).collect()}
     assert got == {k: sum(v for n, v in rows if n <= k) for k, _ in rows}
+
+
+def test_nearest_fill_of_any_radius(spark):
+    """One valid cell in a corner fills the plane; with more, the k nearest and their ties."""
+    plane = [(j, i) for j in range(9) for i in range(9)]
+    for valid, k in (({(0, 0): 4.0}, 10), ({(0, 0): 1.0, (0, 8): 2.0, (8, 0): 3.0, (4, 4): 9.0, (5, 5): 0.0}, 2)):
+        df = spark.createDataFrame([(1, j, i, valid.get((j, i))) for j, i in plane], "t int, j int, i int, v double")
+        got = {(r.j, r.i): r.v for r in fill.nearest_weighted(df, ["t"], "v", k, None, cutter(spark)).collect()}
+        for j, i in plane:
+            d = {p: math.hypot(p[0] - j, p[1] - i) for p in valid}
+            last = sorted(d.values())[min(k, len(d)) - 1]
+            near = {p: x for p, x in d.items() if x <= last + 1e-12}
+            want = valid[j, i] if (j, i) in valid else sum(valid[p] / x for p, x in near.items()) / sum(1 / x for x in near.values())
+            assert got[j, i] == pytest.approx(want)
