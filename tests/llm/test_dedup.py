@@ -127,7 +127,8 @@ def two_shingle_cells(spark, sets, buckets=7):
     return cells
 
 
-def test_sets_that_share_one_shingle_meet_by_two(spark):
+def test_sets_that_share_one_shingle_meet_by_two(spark, monkeypatch):
+    monkeypatch.setattr(near, "MAX_CELL", 40)
     r = np.random.default_rng(5)
     hashes = lambda n: np.sort(np.append(r.integers(2**32, 2**64, n, dtype=np.uint64), np.uint64(12345)))
     work = []
