@@ -243,7 +243,7 @@ def test_output_is_guarded(spark, tmp_path):
     assert sorted(r.segment for r in spark.read.parquet(path).collect()) == [1, 2]
 
 
-def test_rings_find_the_nearest_at_any_distance(spark, tmp_path):
+def test_the_tree_finds_the_nearest_at_any_distance(spark, tmp_path):
     import random
 
     r = random.Random(3)
@@ -251,13 +251,13 @@ def test_rings_find_the_nearest_at_any_distance(spark, tmp_path):
     targets = [(k, r.uniform(-20, 20), r.uniform(-80, -70), float(k)) for k in range(25)]
     p, t = spark.createDataFrame(pts, "n int, lon double, lat double"), spark.createDataFrame(targets, "m int, lon double, lat double, v double")
     cut = cutter(spark)
-    got = {x.n: x.v for x in joins.nearest_value(p, t, "v", "m", cut, width=15.0).collect()}
+    got = {x.n: x.v for x in joins.nearest_value(p, t, "v", "m", cut).collect()}
     assert got == {n: min(targets, key=lambda q: (q[1] - lon) ** 2 + (q[2] - lat) ** 2)[3] for n, lon, lat in pts}
 
     def flat(a, b, c, d):
         return math.hypot(6.371e6 * math.cos(math.radians((b + d) / 2)) * math.radians(c - a), 6.371e6 * math.radians(d - b)) / 1000
 
-    got = {x.n: x.distance for x in joins.distance_to_set(p, t, ["n"], cut, width=15.0).collect()}
+    got = {x.n: x.distance for x in joins.distance_to_set(p, t, ["n"], cut).collect()}
     assert all(got[n] == pytest.approx(min(flat(lon, lat, q[1], q[2]) for q in targets), rel=2e-3) for n, lon, lat in pts)
 
 
@@ -289,3 +289,21 @@ def test_nearest_fill_of_any_radius(spark):
             near = {p: x for p, x in d.items() if x <= last + 1e-12}
             want = valid[j, i] if (j, i) in valid else sum(valid[p] / x for p, x in near.items()) / sum(1 / x for x in near.values())
             assert got[j, i] == pytest.approx(want)
+
+
+def test_pairs_tried_stay_level_as_the_grid_is_refined(spark):
+    import random
+
+    r, cut, tried = random.Random(7), cutter(spark), []
+    points = spark.createDataFrame([(k, r.uniform(-50, 50), r.uniform(-80, 80)) for k in range(60)], "n int, lon double, lat double")
+    for size in (12, 48, 96):
+        axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        grid = spark.range(1).select(axis(size).alias("j")).withColumn("i", axis(size)).select("j", "i", (F.col("i") * (100.0 / size) - 50).alias("_lon"), (F.col("j") * (160.0 / size) - 80).alias("_lat"))
+        dense = grid.unionByName(grid.select("j", "i", (F.col("_lon") / 1000).alias("_lon"), (F.col("_lat") / 1000).alias("_lat")))  # a crowd in the middle
+        for metric in (joins._Plane(), joins._Flat()):
+            pairs = joins.nearest_pairs(points, dense, metric, cut)
+            tried.append(pairs.count() / 60)
+            got = {x.n: x.d for x in pairs.groupBy("n").agg(F.min(metric.exact()).alias("d")).collect()}
+            want = {x.n: x.d for x in points.crossJoin(dense).groupBy("n").agg(F.min(metric.exact()).alias("d")).collect()}
+            assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], rel=1e-9) for n in want)
+    assert max(tried) < 12 * joins.LEAF and joins.nearest_pairs(points, dense.limit(0), metric, cut).count() == 0
