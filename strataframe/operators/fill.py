@@ -38,16 +38,29 @@ def extend(df: DataFrame, keys: list[str], value: str, rounds: int, cut: Callabl
 
 
 def fill_all(df: DataFrame, keys: list[str], value: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rounds until no cell is null; raises if a round fills none."""
-    left = None
-    while True:
-        n = df.where(F.col(value).isNull()).count()
-        if n == 0:
-            return df
-        if n == left:
-            raise ValueError(f"{n} cells cannot be reached from valid ones")
-        left = n
-        df = cut(extend(df, keys, value, 3, cut, every=99))
+    """Rounds of :func:`extend_once` until no cell is null; raises if a round fills none while cells are left.
+
+    A round looks only at the cells beside those that the round before has
+    filled: a null cell's valid neighbours are all of that round, else it had
+    been filled before. So the work follows the frontier, not the field.
+    """
+    key = [*keys, "j", "i"]
+    last = df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("_v"))
+    holes, filled = cut(df.where(F.col(value).isNull()).select(*key)), None
+    sides = [("_w", 0, 1), ("_e", 0, -1), ("_s", 1, 0), ("_n", -1, 0)]  # what a cell is to the neighbour at (j + dj, i + di)
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.lit(dj).alias("dj"), F.lit(di).alias("di")) for n, dj, di in sides]))
+    left = holes.count()
+    while left:
+        near = last.withColumn("_o", steps).select(*keys, (F.col("j") + F.col("_o.dj")).alias("j"), (F.col("i") + F.col("_o.di")).alias("i"), F.col("_o.s").alias("_side"), "_v").join(holes, key)
+        four = near.groupBy(*key).agg(*[F.max(F.when(F.col("_side") == n, F.col("_v"))).alias(n) for n, _, _ in sides])
+        total = sum((F.coalesce(n, F.lit(0.0)) for n, _, _ in sides), F.lit(0.0))
+        last = cut(four.select(*key, (total / sum((F.col(n).isNotNull().cast("int") for n, _, _ in sides), F.lit(0))).alias("_v")))
+        got = last.count()
+        if not got:
+            raise ValueError(f"{left} cells cannot be reached from valid ones")
+        filled = last if filled is None else filled.unionByName(last)
+        holes, left = cut(holes.join(last.select(*key), key, "left_anti")), left - got
+    return df if filled is None else df.join(filled, key, "left").withColumn(value, F.coalesce(value, "_v")).drop("_v")
 
 
 def nearest_weighted(df: DataFrame, keys: list[str], value: str, k: int, radius: int | None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -84,16 +84,32 @@ def significant_mean(df: DataFrame, keys: list[str], value: str, p: float = 0.05
 
 
 def divergence_time(df: DataFrame, keys: list[str], value: str, year: str, first: Column, second: Column, radius: int, z: float = 1.96) -> DataFrame:
-    """The year after the last window in which the two sides' normal intervals overlap (null if they do to the end)."""
-    span = F.explode(F.sequence(F.col(year) - radius, F.col(year) + radius))
-    last = df.groupBy(*keys).agg(F.max(year).alias("_last"), F.min(year).alias("_first"))
-    near = df.withColumn("centre", span).join(last, keys).where(F.col("centre").between(F.col("_first") + radius, F.col("_last") - radius))
-    side = lambda c, f: f(F.when(c, F.col(value)))
-    out = near.groupBy(*keys, "centre").agg(*[side(c, f).alias(f"_{n}{k}") for k, c in ((1, first), (2, second)) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    apart = F.abs(F.col("_m1") - F.col("_m2")) > z * (F.col("_s1") + F.col("_s2"))
-    ends = out.groupBy(*keys).agg(F.max(F.when(~apart, F.col("centre"))).alias("_same"), F.max("centre").alias("_end"), F.min("centre").alias("_start"))
+    """The year after the last window in which the two sides' normal intervals overlap (null if they do to the end).
+
+    Years have their count, sum and squares about the mean of all; a window is
+    the difference of two running sums, so no sample is copied for its windows.
+    """
+    sides = {1: first, 2: second}
+    moment = lambda k, f: f(F.when(sides[k], F.col(value)))
+    own = df.groupBy(*keys, F.col(year).alias("_y")).agg(*[moment(k, f).alias(f"_{n}{k}") for k in sides for n, f in (("n", F.count), ("s", F.sum), ("v", F.var_pop))])
+    whole = Window.partitionBy(*keys)
+    centre = F.sum(F.coalesce("_s1", F.lit(0.0)) + F.coalesce("_s2", F.lit(0.0))).over(whole) / F.sum(F.col("_n1") + F.col("_n2")).over(whole)
+    own = own.withColumn("_c", centre)
+    for k in sides:
+        n, mean = F.col(f"_n{k}"), F.col(f"_s{k}") / F.col(f"_n{k}") - F.col("_c")
+        own = own.withColumns({f"_a{k}": F.when(n > 0, n * mean).otherwise(0.0), f"_q{k}": F.when(n > 0, n * (F.col(f"_v{k}") + mean * mean)).otherwise(0.0)})
+    ends = own.groupBy(*keys).agg(F.min("_y").alias("_first"), F.max("_y").alias("_last"))
+    every = ends.withColumn("_y", F.explode(F.sequence("_first", "_last"))).join(own, [*keys, "_y"], "left")
+    order = Window.partitionBy(*keys).orderBy("_y")
+    upto = lambda c, r: F.coalesce(F.sum(c).over(order.rangeBetween(Window.unboundedPreceding, r)), F.lit(0.0))
+    out = every.select(*keys, "_y", "_first", "_last", *[(upto(f"_{n}{k}", radius) - upto(f"_{n}{k}", -radius - 1)).alias(f"_{n}{k}") for k in sides for n in ("n", "a", "q")])
+    out = out.where(F.col("_y").between(F.col("_first") + radius, F.col("_last") - radius) & (F.col("_n1") + F.col("_n2") > 0))
+    mean = lambda k: F.when(F.col(f"_n{k}") > 0, F.col(f"_a{k}") / F.col(f"_n{k}"))
+    std = lambda k: F.sqrt(F.greatest(F.col(f"_q{k}") / F.when(F.col(f"_n{k}") > 0, F.col(f"_n{k}")) - mean(k) * mean(k), F.lit(0.0)))
+    out = out.withColumn("_apart", F.abs(mean(1) - mean(2)) > z * (std(1) + std(2)))
+    last = out.groupBy(*keys).agg(F.max(F.when(~F.col("_apart"), F.col("_y"))).alias("_same"), F.max("_y").alias("_end"), F.min("_y").alias("_start"))
     year_of = F.when(F.col("_same") == F.col("_end"), None).otherwise(F.coalesce(F.col("_same") + 1, F.col("_start")))
-    return ends.select(*keys, year_of.cast("int").alias("year"))
+    return last.select(*keys, year_of.cast("int").alias("year"))
 
 
 def best_lag(df: DataFrame, keys: list[str], step: str, driver: str, response: str, most: int = 24) -> DataFrame:
@@ -117,9 +133,35 @@ def standardised_by_month(df: DataFrame, keys: list[str], value: str, time: str
 
 
 def trend_by_cutoff(df: DataFrame, keys: list[str], value: str, x: str, cutoffs: list[float]) -> DataFrame:
-    """Trends of only the samples above each cutoff."""
-    own = df.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs]))).where(F.col(value) > F.col("cutoff"))
-    return trend(own, [*keys, "cutoff"], value, x)
+    """Trends of only the samples above each cutoff: moments of the samples between cutoffs, added up from the greatest cutoff down."""
+    cuts = sorted(set(map(float, cutoffs)))
+    above = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    y, t = F.col(value).cast("double"), F.col(x).cast("double")
+    own = df.where(F.col(value).isNotNull() & F.col(x).isNotNull()).withColumn("_bin", above).where("_bin > 0").groupBy(*keys, "_bin").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(t).alias("_x"), F.avg(y).alias("_y"), F.regr_sxx(y, t).alias("_xx"), F.regr_sxy(y, t).alias("_xy"), F.regr_syy(y, t).alias("_yy")
+    )
+    whole, down = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("_bin"))
+    own = own.withColumns({f"_{c}0": F.sum(F.col(f"_{c}") * F.col("_n")).over(whole) / F.sum("_n").over(whole) for c in "xy"})
+    dx, dy = F.col("_x") - F.col("_x0"), F.col("_y") - F.col("_y0")
+    # sums about the mean of all, which add up
+    own = own.select(
+        *keys, "_bin", "_n", "_x0", "_y0", (F.col("_n") * dx).alias("_sx"), (F.col("_n") * dy).alias("_sy"),
+        (F.col("_xx") + F.col("_n") * dx * dx).alias("_xx"), (F.col("_xy") + F.col("_n") * dx * dy).alias("_xy"), (F.col("_yy") + F.col("_n") * dy * dy).alias("_yy"),
+    )
+    # a cutoff whose own bin is empty has the samples of the bins above
+    bins = own.groupBy(*keys).agg(F.max("_bin").alias("_top"), F.max("_x0").alias("_x0"), F.max("_y0").alias("_y0")).withColumn("_bin", F.explode(F.sequence(F.lit(1), F.col("_top")))).drop("_top")
+    sums = bins.join(own.drop("_x0", "_y0"), [*keys, "_bin"], "left").withColumns({c: F.coalesce(F.sum(c).over(down), F.lit(0)) for c in ("_n", "_sx", "_sy", "_xx", "_xy", "_yy")})
+    sums = sums.withColumns({"_sxx": F.col("_xx") - F.col("_sx") ** 2 / F.col("_n"), "_sxy": F.col("_xy") - F.col("_sx") * F.col("_sy") / F.col("_n"), "_syy": F.col("_yy") - F.col("_sy") ** 2 / F.col("_n")})
+    some = F.col("_sxx") > 1e-12 * F.greatest(F.abs("_xx"), F.lit(1e-300))
+    flat = F.col("_syy") <= 1e-12 * F.greatest(F.abs("_yy"), F.lit(1e-300))
+    slope = F.when(some, F.col("_sxy") / F.col("_sxx"))
+    out = sums.select(
+        *keys, F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("_bin")).alias("cutoff"), slope.alias("slope"),
+        (F.col("_y0") + F.col("_sy") / F.col("_n") - slope * (F.col("_x0") + F.col("_sx") / F.col("_n"))).alias("intercept"),
+        F.when(some, F.when(flat, 1.0).otherwise(F.col("_sxy") ** 2 / (F.col("_sxx") * F.col("_syy")))).alias("r2"), F.col("_n").cast("long").alias("n"),
+    )
+    t = F.when((F.col("n") > 2) & (F.col("r2") < 1), F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2"))))
+    return out.withColumn("t", t).withColumn("dof", (F.col("n") - 2).cast("double"))
 
 
 def trend_outside_events(df: DataFrame, keys: list[str], value: str, step: str, event: Column, delays: list[int]) -> DataFrame:
@@ -140,18 +182,34 @@ def segments(df: DataFrame, keys: list[str], step: str, size: int) -> DataFrame:
     return own.where((F.col("segment") * half + size <= F.col("_total")) & F.col("n").between(0, size - 1)).drop("_rn", "_total")
 
 
+def _transformed(column: pd.Series, size: int) -> pd.Series:
+    """Real and imaginary parts, one after the other, of the detrended and Hann-windowed segments; missing samples are left out of the fit and count as 0."""
+    m = np.array([np.asarray(v, float) for v in column]).reshape(-1, size)
+    ok, n = ~np.isnan(m), np.arange(size)
+    count, x = ok.sum(1), np.where(ok, n, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_x, mean_y = x.sum(1) / count, np.where(ok, m, 0).sum(1) / count
+        dx = np.where(ok, n - mean_x[:, None], 0)
+        slope = (dx * np.where(ok, m, 0)).sum(1) / (dx * dx).sum(1)
+    left = np.where(ok, m - mean_y[:, None] - slope[:, None] * (n - mean_x[:, None]), 0) * (0.5 - 0.5 * np.cos(2 * np.pi * n / size))
+    f = np.fft.rfft(left, axis=1)
+    return pd.Series(list(np.concatenate([f.real, f.imag], axis=1)))
+
+
 def fourier(df: DataFrame, keys: list[str], values: list[str], step: str, size: int) -> DataFrame:
-    """(keys, segment, f, re_*, im_*): Hann-windowed, linearly detrended transforms by joins with a table of frequencies."""
+    """(keys, segment, f, re_*, im_*): Hann-windowed, linearly detrended transforms; a segment is one array, transformed in Arrow batches.
+
+    A segment in which fewer than two samples of a value are there has NaN.
+    """
     own = segments(df, keys, step, size)
-    g = [*keys, "segment"]
-    fits = own.groupBy(*g).agg(*[h(F.col(v), F.col("n")).alias(f"_{name}_{v}") for v in values for name, h in (("a", F.regr_slope), ("b", F.regr_intercept))])
-    own = own.join(fits, g)
-    hann = 0.5 - 0.5 * F.cos(F.col("n") * (2 * math.pi / size))
-    for v in values:
-        own = own.withColumn(f"_d_{v}", (F.col(v) - F.col(f"_a_{v}") * F.col("n") - F.col(f"_b_{v}")) * hann)
-    own = own.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(size // 2))))
-    turn = F.col("n") * F.col("f") * (2 * math.pi / size)
-    return own.groupBy(*g, "f").agg(*[F.sum(F.col(f"_d_{v}") * w).alias(f"{name}_{v}") for v in values for name, w in (("re", F.cos(turn)), ("im", -F.sin(turn)))])
+    rows = F.array_sort(F.collect_list(F.struct("n", *[F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values])))  # ``size`` of them
+    own = own.groupBy(*keys, "segment").agg(rows.alias("_s"))
+    turn = F.pandas_udf(lambda column: _transformed(column, size), T.ArrayType(T.DoubleType()))
+    own = own.select(*keys, "segment", *[turn(F.col(f"_s.{v}")).alias(f"_t_{v}") for v in values])
+    half = size // 2 + 1
+    parts = [F.slice(F.col(f"_t_{v}"), 1 + k * half, half).alias(f"{name}_{v}") for v in values for k, name in enumerate(("re", "im"))]
+    each = own.select(*keys, "segment", F.posexplode(F.arrays_zip(*parts)).alias("f", "_p"))
+    return each.select(*keys, "segment", "f", *[F.col(f"_p.{name}_{v}").alias(f"{name}_{v}") for v in values for name in ("re", "im")])
 
 
 def power_spectrum(df: DataFrame, keys: list[str], value: str, step: str, size: int = 256, rate: float = 1.0) -> DataFrame:

@@ -10,7 +10,7 @@ from strataframe.functions import constants as K
 from strataframe.functions import expr as X
 from strataframe.operators import binning, boundary, columns, fill, joins, regions, regrid, stencil
 from strataframe.plans import diagnostics
-from strataframe.plans.core import TIE, query, rounded
+from strataframe.plans.core import query, rounded
 from strataframe.plans.cuts import cutter, shared_dir
 from strataframe.plans.spaces import _HIT, _P, NAMES, _points
 from strataframe.sources import binary, ingest
@@ -89,7 +89,7 @@ def a13_text_observations(spark, sf):
     path = _place(spark, "text")
     v = V.table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("v"))
     _points(spark, sf).join(v, "c_custkey").select("lon", "lat", "v").write.option("sep", " ").csv(path)
-    grid = ingest.points_to_grid(ingest.read_points(spark, path, ["lon", "lat", "v"]))
+    grid = ingest.points_to_grid(ingest.read_points(spark, path, ["lon", "lat", "v"]), cutter(spark))
     return rounded(grid.groupBy("j", "i", "lon", "lat").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n")), "v")
 
 
@@ -157,14 +157,14 @@ def i1_bracket(spark, sf):
 
 @query(_W + """, h AS (SELECT j, i, CASE WHEN raw < lim / 2 THEN 0 WHEN raw < lim THEN lim ELSE raw END AS hfac FROM (SELECT j, i, (least(z_top, draft) - greatest(z_bot, bathy)) / 50 AS raw, greatest(0.1, least(20.0 / dz, 1)) AS lim FROM grid, levels WHERE k = 3)),
 f AS (SELECT j, i, avg(x) AS x FROM cells GROUP BY 1, 2)
-SELECT c_custkey, round(CASE WHEN count(f.x) = count(*) THEN sum(f.x * w) END + 3e-8, 6) AS x, round(CASE WHEN min(coalesce(hfac, 0)) <= 0 THEN 0 ELSE sum(hfac * w) END + 3e-8, 6) + 0.0 AS hfac FROM wts LEFT JOIN f USING (j, i) LEFT JOIN h USING (j, i) GROUP BY 1""")
+SELECT c_custkey, round(CASE WHEN count(f.x) = count(*) THEN sum(f.x * w) END, 8) AS x, round(CASE WHEN min(coalesce(hfac, 0)) <= 0 THEN 0 ELSE sum(hfac * w) END, 8) + 0.0 AS hfac FROM wts LEFT JOIN f USING (j, i) LEFT JOIN h USING (j, i) GROUP BY 1""")
 def i4_value_at_points(spark, sf):
     """A field and the open fraction at points; a dry corner closes the point."""
     w = _weights(spark, sf)
     f = V.cells(spark, sf).groupBy("j", "i").agg(F.avg("x").alias("x"))
     g = V.grid_xy(spark, sf).join(F.broadcast(V.levels(spark, sf).where("k = 3")))
     hfac = regrid.point_open_fraction(w, g.select("j", "i", X.open_fraction("bathy", "draft", "z_top", "z_bot").alias("hfac")), ["c_custkey"])
-    return rounded(hfac.join(regrid.apply_weights(f, w, ["c_custkey"], ["j", "i"], ["x"], []), "c_custkey", "left").select("c_custkey", "x", "hfac"), "x", "hfac", tie=TIE)
+    return rounded(hfac.join(regrid.apply_weights(f, w, ["c_custkey"], ["j", "i"], ["x"], []), "c_custkey", "left").select("c_custkey", "x", "hfac"), "x", "hfac", n=8)
 
 
 @query(_P + """, s AS (SELECT p.*, CAST(c_acctbal AS DOUBLE) AS v FROM p JOIN customer USING (c_custkey)), d AS (SELECT j, i, v, row_number() OVER (PARTITION BY j, i ORDER BY (grid.lon - s.lon) * (grid.lon - s.lon) + (grid.lat - s.lat) * (grid.lat - s.lat), c_custkey) AS n FROM grid, s)
@@ -180,7 +180,7 @@ _SECTION = """, f AS (SELECT k, j, avg(x) AS x FROM cells WHERE i = 0 GROUP BY 1
 full_kj AS (SELECT k, j, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM all_kj)"""
 
 
-@query(_SECTION + " SELECT a.k, a.j, round((a.x + b.x + c.x + d.x) / 4 + 3e-8, 6) AS x FROM full_kj a JOIN full_kj b ON b.k = a.k + 1 AND b.j = a.j JOIN full_kj c ON c.k = a.k AND c.j = a.j + 1 JOIN full_kj d ON d.k = a.k + 1 AND d.j = a.j + 1")
+@query(_SECTION + " SELECT a.k, a.j, round((a.x + b.x + c.x + d.x) / 4, 8) AS x FROM full_kj a JOIN full_kj b ON b.k = a.k + 1 AND b.j = a.j JOIN full_kj c ON c.k = a.k AND c.j = a.j + 1 JOIN full_kj d ON d.k = a.k + 1 AND d.j = a.j + 1")
 def i6_boundary_section(spark, sf):
     """A boundary section filled up and down its columns, then interpolated between both axes; a value still missing fails the job."""
     f = V.cells(spark, sf).where("i = 0").groupBy("k", "j").agg(F.avg("x").alias("x"))
@@ -193,26 +193,26 @@ def i6_boundary_section(spark, sf):
     wj = regrid.bracket(mid_j, rows.withColumn("lat", F.col("j").cast("double")), "tlat", "lat", "j").withColumnRenamed("w", "wj")
     both = wk.crossJoin(wj).select("tk", "tj", "k", "j", (F.col("wk") * F.col("wj")).alias("w"))  # two axes of one section
     out = regrid.apply_weights(filled, both, ["tk", "tj"], ["k", "j"], ["x"], [])
-    return rounded(out.select(F.col("tk").alias("k"), F.col("tj").alias("j"), "x"), "x", tie=TIE)
+    return rounded(out.select(F.col("tk").alias("k"), F.col("tj").alias("j"), "x"), "x", n=8)
 
 
 @query(""", g AS (SELECT j, i, lon + 0.7 * j AS c, lead(i) OVER w AS i2, lead(lon + 0.7 * j) OVER w AS d FROM grid WINDOW w AS (PARTITION BY j ORDER BY i)), x AS (SELECT j, i, i2, (35.0 - c) / (d - c) AS r FROM g WHERE c <= 35 AND d > 35),
 w AS (SELECT j, i, 1 - r AS w FROM x UNION ALL SELECT j, i2, r FROM x WHERE r > 0), f AS (SELECT k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3)
-SELECT kk.k, w.j, round(sum(f.x * w.w) + 3e-8, 6) AS x FROM w CROSS JOIN (SELECT DISTINCT k FROM f) kk LEFT JOIN f ON f.j = w.j AND f.i = w.i AND f.k = kk.k GROUP BY 1, 2 HAVING count(f.x) = count(*)""")
+SELECT kk.k, w.j, round(sum(f.x * w.w), 8) AS x FROM w CROSS JOIN (SELECT DISTINCT k FROM f) kk LEFT JOIN f ON f.j = w.j AND f.i = w.i AND f.k = kk.k GROUP BY 1, 2 HAVING count(f.x) = count(*)""")
 def i7_curvilinear_slice(spark, sf):
     """The section along a meridian of a grid whose longitudes lean with latitude."""
     g = V.grid_xy(spark, sf).withColumn("lon2", F.col("lon") + 0.7 * F.col("j"))
     w = regrid.crossing_weights(g, ["j"], "i", "lon2", 35.0).withColumn("row", F.col("j"))
     out = regrid.apply_weights(_mean(spark, sf, "x"), w, ["row"], ["j", "i"], ["x"], ["k"])
-    return rounded(out.where("x IS NOT NULL").select("k", F.col("row").alias("j"), "x"), "x", tie=TIE)
+    return rounded(out.where("x IS NOT NULL").select("k", F.col("row").alias("j"), "x"), "x", n=8)
 
 
-@query(""", w(j, w) AS (VALUES (4, 0.65::DOUBLE), (5, 0.35)), f AS (SELECT k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3) SELECT k, i, round(CASE WHEN count(*) = 2 THEN sum(x * w) END + 3e-8, 6) AS x FROM f JOIN w USING (j) GROUP BY 1, 2""")
+@query(""", w(j, w) AS (VALUES (4, 0.65::DOUBLE), (5, 0.35)), f AS (SELECT k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3) SELECT k, i, round(CASE WHEN count(*) = 2 THEN sum(x * w) END, 8) AS x FROM f JOIN w USING (j) GROUP BY 1, 2""")
 def i8_slice_by_weights(spark, sf):
     """The section at a latitude between two rows; missing if a contributor is."""
     axis = V.grid_xy(spark, sf).select("j", F.col("lat").alias("g")).distinct()
     w = regrid.bracket(axis.limit(1).select(F.lit(-71.3).alias("lat")), axis, "lat", "g", "j").select("lat", "j", "w")
-    return rounded(regrid.apply_weights(_mean(spark, sf, "x"), w, ["lat"], ["j"], ["x"], ["k", "i"]).select("k", "i", "x"), "x", tie=TIE)
+    return rounded(regrid.apply_weights(_mean(spark, sf, "x"), w, ["lat"], ["j"], ["x"], ["k", "i"]).select("k", "i", "x"), "x", n=8)
 
 
 @query(""", s AS (SELECT j, i, a * 4 + b AS sub, lon + ((a + 0.5) / 4 - 0.5) * 18 AS lon, lat + ((b + 0.5) / 4 - 0.5) * 2 AS lat FROM grid, (SELECT unnest(range(4)) AS a) x, (SELECT unnest(range(4)) AS b) y),
@@ -240,25 +240,26 @@ def _extended(spark, sf):
 
 
 @query(_W + _FIELD3 + """, s AS (SELECT c_custkey, k, sum(x * w) AS x FROM wts JOIN e USING (j, i) GROUP BY 1, 2 HAVING count(x) = count(*) AND NOT bool_or(is_land))
-SELECT a.c_custkey, round(0.6 * a.x + 0.4 * b.x + 3e-8, 6) AS x FROM s a JOIN s b USING (c_custkey) WHERE a.k = 2 AND b.k = 3""")
+SELECT a.c_custkey, round(0.6 * a.x + 0.4 * b.x, 8) AS x FROM s a JOIN s b USING (c_custkey) WHERE a.k = 2 AND b.k = 3""")
 def i11_regrid_with_mask(spark, sf):
     """Extrapolated into the mask, regridded across, interpolated to a depth, and masked again where a corner is land."""
     g, w = V.grid_xy(spark, sf), _weights(spark, sf)
     across = regrid.apply_weights(_extended(spark, sf), w, ["c_custkey"], ["j", "i"], ["x"], ["k"])
     at = columns.at_depth(across, V.levels(spark, sf), ["c_custkey"], "x", -95.0)
     land = w.join(g.where("is_land").select("j", "i"), ["j", "i"]).select("c_custkey").distinct()
-    return rounded(regions.apply_mask(at, land, ["c_custkey"], keep=False), "x", tie=TIE)
+    return rounded(regions.apply_mask(at, land, ["c_custkey"], keep=False), "x", n=8)
 
 
-@query(_W + """, f AS (SELECT j, i, k, x, CASE k WHEN 2 THEN 0.6 ELSE 0.4 END AS wk FROM cells WHERE t = DATE '1998-03-01' AND k IN (2, 3))
-SELECT c_custkey, round(sum(x * w * wk) / sum(w * wk), 6) AS x, round(sum(w * wk), 6) AS weight FROM wts JOIN f USING (j, i) GROUP BY 1 HAVING sum(w * wk) >= 0.3""")
+@query(_W + """, f AS (SELECT t, j, i, k, x, CASE k WHEN 2 THEN 0.6 ELSE 0.4 END AS wk FROM cells WHERE k IN (2, 3))
+SELECT t, c_custkey, round(CAST(sum(CAST(x * w * wk AS DECIMAL(30, 12))) AS DOUBLE) / CAST(sum(CAST(w * wk AS DECIMAL(30, 12))) AS DOUBLE), 6) AS x, round(CAST(sum(CAST(w * wk AS DECIMAL(30, 12))) AS DOUBLE), 6) AS weight FROM wts JOIN f USING (j, i) GROUP BY 1, 2 HAVING CAST(sum(CAST(w * wk AS DECIMAL(30, 12))) AS DOUBLE) >= 0.3""")
 def i12_weight_threshold(spark, sf):
-    """Sums of value times weight over sums of weight, in three dimensions, where enough weight is there."""
-    f = V.cells(spark, sf).where("t = DATE '1998-03-01'").select("j", "i", "k", "x")
+    """Sums of value times weight over sums of weight, in three dimensions, where enough weight is there; summed in fixed decimals, so that order does not matter."""
+    f = V.cells(spark, sf).select("t", "j", "i", "k", "x")
     levels = V.levels(spark, sf).select("k", F.col("z").alias("g"))
     wk = regrid.bracket(levels.limit(1).select(F.lit(-95.0).alias("z")), levels, "z", "g", "k").select("k", F.col("w").alias("wk"))
     own = f.join(_weights(spark, sf), ["j", "i"]).join(F.broadcast(wk), "k").withColumn("w", F.col("w") * F.col("wk"))
-    out = own.groupBy("c_custkey").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"), F.sum("w").alias("weight")).where("weight >= 0.3")
+    exact = lambda c: F.sum(c.cast("decimal(30,12)")).cast("double")
+    out = own.groupBy("t", "c_custkey").agg((exact(F.col("x") * F.col("w")) / exact(F.col("w"))).alias("x"), exact(F.col("w")).alias("weight")).where("weight >= 0.3")
     return rounded(out, "x", "weight")
 
 
@@ -275,20 +276,20 @@ def _initial(spark, sf, field):
     return at.select("c_custkey", "k", F.when(F.col("bathy") > F.col("z"), 0.0).otherwise(F.col("x")).alias("x"))
 
 
-@query(_INITIAL + " SELECT c_custkey, k, round(x + 3e-8, 6) + 0.0 AS x FROM o WHERE ok")
+@query(_INITIAL + " SELECT c_custkey, k, round(x, 9) + 0.0 AS x FROM o WHERE ok")
 def i13_initial_field(spark, sf):
     """An initial field: filled, cavities set, interpolated, 0 in dry cells."""
-    return rounded(_initial(spark, sf, _extended(spark, sf)).where("x IS NOT NULL"), "x", tie=TIE)
+    return rounded(_initial(spark, sf, _extended(spark, sf)).where("x IS NOT NULL"), "x", n=9)
 
 
-@query(_W + """, m AS (SELECT month(t) AS month, j, i, avg(x) AS x FROM cells_xy GROUP BY 1, 2, 3) SELECT c_custkey, mm.month, round(coalesce(CASE WHEN count(m.x) = count(*) THEN sum(m.x * w) END, 0) + 3e-8, 6) AS x FROM wts CROSS JOIN (SELECT DISTINCT month FROM m) mm LEFT JOIN m USING (month, j, i) GROUP BY 1, 2""")
+@query(_W + """, m AS (SELECT month(t) AS month, j, i, avg(x) AS x FROM cells_xy GROUP BY 1, 2, 3) SELECT c_custkey, mm.month, round(coalesce(CASE WHEN count(m.x) = count(*) THEN sum(m.x * w) END, 0), 8) AS x FROM wts CROSS JOIN (SELECT DISTINCT month FROM m) mm LEFT JOIN m USING (month, j, i) GROUP BY 1, 2""")
 def i14_forcing_climatology(spark, sf):
     """A monthly climatology at points, 0 where the source has none."""
     m = V.cells_xy(spark, sf).groupBy(F.month("t").alias("month"), "j", "i").agg(F.avg("x").alias("x"))
     w = _weights(spark, sf)
     out = regrid.apply_weights(m, w, ["c_custkey"], ["j", "i"], ["x"], ["month"])
     every = w.select("c_custkey").distinct().crossJoin(m.select("month").distinct())  # that is the result's own grid
-    return rounded(every.join(out, ["c_custkey", "month"], "left").select("c_custkey", "month", F.coalesce("x", F.lit(0.0)).alias("x")), "x", tie=TIE)
+    return rounded(every.join(out, ["c_custkey", "month"], "left").select("c_custkey", "month", F.coalesce("x", F.lit(0.0)).alias("x")), "x", n=8)
 
 
 @query("SELECT t, j, round(x, 6) AS x FROM cells_xy WHERE i = (SELECT arg_min(i, abs(lon - 33.3)) FROM grid)")
@@ -323,29 +324,29 @@ def j2_discard_and_fill(spark, sf):
     g = V.grid_xy(spark, sf)
     f = V.cells_xy(spark, sf).groupBy("j", "i").agg(F.avg("x").alias("x")).withColumn("all", F.lit(0))
     own = g.select("j", "i", "is_ice").join(f, ["j", "i"], "left").select(F.lit(0).alias("all"), "j", "i", F.when(~F.col("is_ice"), F.col("x")).alias("x"))
-    return rounded(fill.fill_all(own, ["all"], "x", cutter(spark)).select("j", "i", "x"), "x", tie=TIE)
+    return rounded(fill.fill_all(own, ["all"], "x", cutter(spark)).select("j", "i", "x"), "x", n=8)
 
 
 @query(""", f AS (SELECT g.j, g.i, CASE WHEN NOT is_land THEN x END AS x, is_ice FROM grid g LEFT JOIN (SELECT j, i, avg(x) AS x FROM cells_xy GROUP BY 1, 2) q USING (j, i))
-SELECT j, i, round(CASE WHEN is_ice THEN -1.9 ELSE coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END + 3e-8, 6) AS x FROM f""")
+SELECT j, i, round(CASE WHEN is_ice THEN -1.9 ELSE coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 8) AS x FROM f""")
 def j3_closed_cells(spark, sf):
     """Land takes the nearest value before it in its row, cavities a constant."""
     f = V.cells_xy(spark, sf).groupBy("j", "i").agg(F.avg("x").alias("x"))
     own = V.grid_xy(spark, sf).join(f, ["j", "i"], "left").withColumn("x", F.when(~F.col("is_land"), F.col("x")))
     own = fill.along(own, ["j"], "x", "i")
-    return rounded(own.select("j", "i", F.when(F.col("is_ice"), -1.9).otherwise(F.col("x")).alias("x")), "x", tie=TIE)
+    return rounded(own.select("j", "i", F.when(F.col("is_ice"), -1.9).otherwise(F.col("x")).alias("x")), "x", n=8)
 
 
 # ---------------------------------------------------------------- columns and casts
 
 
 @query(_W + """, f AS (SELECT k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3), s AS (SELECT c_custkey, k, sum(x * w) AS x FROM wts JOIN (SELECT DISTINCT k FROM f) kk ON true LEFT JOIN f USING (k, j, i) GROUP BY 1, 2 HAVING count(x) = count(*))
-SELECT c_custkey, round(sum(x * dz) / sum(dz) + 3e-8, 6) AS x, count(*) AS n FROM s JOIN levels USING (k) GROUP BY 1""")
+SELECT c_custkey, round(sum(x * dz) / sum(dz), 8) AS x, count(*) AS n FROM s JOIN levels USING (k) GROUP BY 1""")
 def e5_column_average(spark, sf):
     """Vertical averages of interpolated columns."""
     col = regrid.apply_weights(_mean(spark, sf, "x"), _weights(spark, sf), ["c_custkey"], ["j", "i"], ["x"], ["k"]).where("x IS NOT NULL")
     own = col.join(V.levels(spark, sf).select("k", "dz"), "k")
-    return rounded(own.groupBy("c_custkey").agg((F.sum(F.col("x") * F.col("dz")) / F.sum("dz")).alias("x"), F.count(F.lit(1)).alias("n")), "x", tie=TIE)
+    return rounded(own.groupBy("c_custkey").agg((F.sum(F.col("x") * F.col("dz")) / F.sum("dz")).alias("x"), F.count(F.lit(1)).alias("n")), "x", n=8)
 
 
 @query(""", a AS (SELECT a.t, a.j, a.i, a.x * 0.6 + b.x * 0.4 AS x, a.y * 0.6 + b.y * 0.4 AS y FROM cells a JOIN cells b USING (t, j, i) WHERE a.k = 2 AND b.k = 3)
@@ -399,7 +400,7 @@ def n5_density_difference(spark, sf):
 @query(""", w(j, w) AS (VALUES (4, 0.65::DOUBLE), (5, 0.35)), m AS (SELECT month(t) AS month, k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3, 4), s AS (SELECT month, k, i, sum(x * w) AS x FROM m JOIN w USING (j) GROUP BY 1, 2, 3 HAVING count(*) = 2),
 a AS (SELECT month, k, i, x FROM (SELECT DISTINCT k FROM cells) CROSS JOIN (SELECT DISTINCT month, i FROM s) LEFT JOIN s USING (month, k, i)),
 e AS (SELECT month, k, i, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY month, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY month, i ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM a)
-SELECT month, u.k, i, round((u.x + d.x) / 2 + 3e-8, 6) AS x FROM e u JOIN e d USING (month, i) WHERE d.k = u.k + 1""")
+SELECT month, u.k, i, round((u.x + d.x) / 2, 8) AS x FROM e u JOIN e d USING (month, i) WHERE d.k = u.k + 1""")
 def n8_boundary_conditions(spark, sf):
     """A boundary's monthly climatology: sliced by weights, extended up and down, interpolated to the target's levels."""
     g, levels = V.grid_xy(spark, sf), V.levels(spark, sf).select("k", "z")
@@ -412,16 +413,16 @@ def n8_boundary_conditions(spark, sf):
     targets = levels.select(F.col("k").alias("tk"), (F.col("z") - 25).alias("tz"))
     wk = regrid.bracket(targets, levels, "tz", "z", "k").select("tk", "k", "w")
     out = regrid.apply_weights(filled, wk, ["tk"], ["k"], ["x"], ["month", "i"]).where("x IS NOT NULL")
-    return rounded(out.select("month", F.col("tk").alias("k"), "i", "x"), "x", tie=TIE)
+    return rounded(out.select("month", F.col("tk").alias("k"), "i", "x"), "x", n=8)
 
 
-@query(_INITIAL.replace("AS (SELECT k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3)", "AS (SELECT k, j, i, avg(x) AS x FROM cells WHERE month(t) = 1 GROUP BY 1, 2, 3)") + " SELECT c_custkey, k, round(x + 3e-8, 6) + 0.0 AS temp FROM o WHERE ok")
+@query(_INITIAL.replace("AS (SELECT k, j, i, avg(x) AS x FROM cells GROUP BY 1, 2, 3)", "AS (SELECT k, j, i, avg(x) AS x FROM cells WHERE month(t) = 1 GROUP BY 1, 2, 3)") + " SELECT c_custkey, k, round(x, 10) + 0.0 AS temp FROM o WHERE ok")
 def n9_initial_conditions(spark, sf):
     """The initial temperature from the source's January climatology."""
     f = V.cells(spark, sf).where("month(t) = 1").groupBy("k", "j", "i").agg(F.avg("x").alias("x"))
     every = V.cells(spark, sf).select("k").distinct()
     dense = every.crossJoin(V.grid_xy(spark, sf).select("j", "i")).join(f, ["k", "j", "i"], "left")  # the model's own grid
-    return rounded(_initial(spark, sf, fill.extend_once(dense, ["k"], "x")).where("x IS NOT NULL").withColumnRenamed("x", "temp"), "temp", tie=TIE)
+    return rounded(_initial(spark, sf, fill.extend_once(dense, ["k"], "x")).where("x IS NOT NULL").withColumnRenamed("x", "temp"), "temp", n=10)
 
 
 # ---------------------------------------------------------------- corrections in property space

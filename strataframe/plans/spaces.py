@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.operators import boundary, regions, regrid
 from strataframe.plans import diagnostics
-from strataframe.plans.core import TIE, query, rounded
+from strataframe.plans.core import query, rounded
 from strataframe.sources import ingest
 from strataframe.sources import views as V
 from strataframe.streaming import incremental
@@ -37,12 +37,12 @@ def i2_bilinear_weights(spark, sf):
 b AS (SELECT c_custkey, CAST(floor((l + 180) / 18) AS INT) AS i0, (l + 180) / 18 - floor((l + 180) / 18) AS a, CAST(floor((lat + 80) / 2) AS INT) AS j0, (lat + 80) / 2 - floor((lat + 80) / 2) AS c FROM q WHERE c_custkey % 10 = 3 OR c_custkey > 1000),
 w AS (SELECT c_custkey, (i0 + di) % 20 AS i, j0 + dj AS j, (CASE WHEN di = 1 THEN a ELSE 1 - a END) * (CASE WHEN dj = 1 THEN c ELSE 1 - c END) AS w FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) s(di, dj)),
 f AS (SELECT j, i, k, avg(x) AS x FROM cells GROUP BY 1, 2, 3)
-SELECT c_custkey, k, round(CASE WHEN count(*) FILTER (f.x IS NULL) = 0 THEN sum(f.x * w) END + 3e-8, 6) AS x FROM w JOIN (SELECT DISTINCT k FROM f) USING (true) LEFT JOIN f USING (j, i, k) WHERE w > 0 AND j <= 9 GROUP BY 1, 2""".replace("JOIN (SELECT DISTINCT k FROM f) USING (true)", "CROSS JOIN (SELECT DISTINCT k FROM f) kk").replace(" WHERE c_custkey % 10 = 3 OR c_custkey > 1000", ""))
+SELECT c_custkey, k, round(CASE WHEN count(*) FILTER (f.x IS NULL) = 0 THEN sum(f.x * w) END, 8) AS x FROM w JOIN (SELECT DISTINCT k FROM f) USING (true) LEFT JOIN f USING (j, i, k) WHERE w > 0 AND j <= 9 GROUP BY 1, 2""".replace("JOIN (SELECT DISTINCT k FROM f) USING (true)", "CROSS JOIN (SELECT DISTINCT k FROM f) kk").replace(" WHERE c_custkey % 10 = 3 OR c_custkey > 1000", ""))
 def i3_regrid_field(spark, sf):
     """The mean field at every level, interpolated to every point."""
     f = V.cells(spark, sf).groupBy("j", "i", "k").agg(F.avg("x").alias("x"))
     w = regrid.bilinear_weights(_points(spark, sf), V.grid_xy(spark, sf), ["c_custkey"], period=360.0)
-    return rounded(regrid.apply_weights(f, w, ["c_custkey"], ["j", "i"], ["x"], ["k"]), "x", tie=TIE)
+    return rounded(regrid.apply_weights(f, w, ["c_custkey"], ["j", "i"], ["x"], ["k"]), "x", n=8)
 
 
 @query("SELECT t, CAST(j // 2 AS INT) AS cj, CAST(i // 2 AS INT) AS ci, round(avg(x), 6) AS x FROM cells_xy GROUP BY 1, 2, 3")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,12 +64,21 @@ def read_points(spark: SparkSession, path: str, names: list[str], sep: str = " "
     return spark.read.schema(", ".join(f"{n} double" for n in names)).option("sep", sep).csv(path)
 
 
-def points_to_grid(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """``points`` with ``i`` and ``j``, their places among the distinct longitudes and latitudes (two axes, each small)."""
+def points_to_grid(points: DataFrame, cut: Callable[[DataFrame], DataFrame], lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``points`` with ``i`` and ``j``, their places among the distinct longitudes and latitudes.
+
+    Coordinates are sorted by ranges and numbered within each; a range's offset
+    is the number of coordinates in those before it. So scattered points, with
+    as many coordinates as rows, are sorted by all tasks.
+    """
     out = points
     for coord, index in ((lon, "i"), (lat, "j")):
-        axis = points.select(coord).distinct().withColumn(index, F.row_number().over(Window.orderBy(coord)) - 1)
-        out = out.join(axis, coord)
+        axis = cut(points.select(coord).where(F.col(coord).isNotNull()).distinct().repartitionByRange(coord).sortWithinPartitions(coord).withColumn("_at", F.monotonically_increasing_id()))
+        part = F.shiftright("_at", 33)
+        counts = axis.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+        offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        numbered = axis.withColumn("_part", part).join(counts.select("_part", offset.alias("_before")), "_part")
+        out = out.join(numbered.select(coord, (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).cast("int").alias(index)), coord)
     return out
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +308,53 @@ def test_pairs_tried_stay_level_as_the_grid_is_refined(spark):
             want = {x.n: x.d for x in points.crossJoin(dense).groupBy("n").agg(F.min(metric.exact()).alias("d")).collect()}
             assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], rel=1e-9) for n in want)
     assert max(tried) < 12 * joins.LEAF and joins.nearest_pairs(points, dense.limit(0), metric, cut).count() == 0
+
+
+def test_fill_from_the_frontier_is_that_of_whole_rounds(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(t, j, i, r.random() if r.random() < 0.06 or (j, i) == (5, 5) else None) for t in range(3) for j in range(11) for i in range(13) if r.random() < 0.85 or (j, i) == (5, 5)]
+    value = {(t, j, i): v for t, j, i, v in rows}
+
+    def rounds(own):
+        while None in own.values():
+            near = {c: [own[x] for x in ((c[0], c[1], c[2] - 1), (c[0], c[1], c[2] + 1), (c[0], c[1] - 1, c[2]), (c[0], c[1] + 1, c[2])) if own.get(x) is not None] for c, v in own.items() if v is None}
+            new = {c: sum(v) / len(v) for c, v in near.items() if v}
+            if not new:
+                return None
+            own = {**own, **new}
+        return own
+
+    stuck = {c for c in value if c[0] == 1 and c[1:] != (5, 5)}
+    for own in (value, {c: None if c in stuck or c == (1, 5, 5) else v for c, v in value.items()}):
+        df, want = spark.createDataFrame([(*c, v) for c, v in own.items()], "t int, j int, i int, x double"), rounds(own)
+        if want is None:
+            with pytest.raises(ValueError):
+                fill.fill_all(df, ["t"], "x", cutter(spark))
+        else:
+            got = {(x.t, x.j, x.i): x.x for x in fill.fill_all(df, ["t"], "x", cutter(spark)).collect()}
+            assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_trends_by_cutoff_from_moments(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k % 2, k, 1e6 + r.uniform(0, 10)) for k in range(200)] + [(0, 500, None)]
+    cutoffs = [1e6 + 7.5, 1e6 + 2, 1e6 + 9.99, 1e6 + 20, 1e6 + 2]
+    got = {(x.g, x.cutoff): x for x in stats.trend_by_cutoff(spark.createDataFrame(rows, "g int, x int, v double"), ["g"], "v", "x", cutoffs).collect()}
+    for g in (0, 1):
+        for c in set(cutoffs):
+            own = [(x, v) for k, x, v in rows if k == g and v is not None and v > c]
+            assert ((g, c) in got) == bool(own)
+            if len(own) > 2:
+                a, b = np.polyfit(*zip(*own, strict=True), 1)
+                assert got[g, c].n == len(own) and got[g, c].slope == pytest.approx(a, rel=1e-6, abs=1e-9) and got[g, c].intercept == pytest.approx(b, rel=1e-6)
+
+
+def test_coordinates_are_ranked_by_ranges(spark):
+    rows = [(float(k * 7919 % 1000) / 8, float(-k)) for k in range(1000)] + [(3.0, -5.0)]
+    got = ingest.points_to_grid(spark.createDataFrame(rows, "lon double, lat double").repartition(5), cutter(spark)).collect()
+    lons, lats = sorted({a for a, _ in rows}), sorted({b for _, b in rows})
+    assert len(got) == 1001 and all(lons[x.i] == x.lon and lats[x.j] == x.lat for x in got)
