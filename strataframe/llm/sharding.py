@@ -57,8 +57,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     ``size`` is the text's UTF-8 bytes (null: none) plus 8. ``shard`` depends on
     the id and the number of shards only; ``grown_shard`` is the one with one
     shard more. ``slot`` numbers a shard's rows from 0 without gaps, in a seeded
-    order of ids found by two-level counts (equal ids stand in order of text
-    checksum and size). A null text has the checksum of no bytes. Columns of
+    order of ids and text checksums found by two-level counts, so rows of one id
+    are dealt to many tasks unless they are equal. A null text has the checksum of no bytes. Columns of
     ``docs`` with the new names are replaced.
     """
     scratch = Scratch(docs.sparkSession, "shard")
@@ -68,7 +68,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     size, crc, state, at, order, part, ahead, inside, own, own_part = fresh(docs, "size", "crc", "state", "at", "order", "part", "ahead", "inside", "own", "own_part")
     rows = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        (F.octet_length(text) + 8).cast("long").alias(size), F.crc32(text.cast("binary")).alias(crc), jumps(key, shards).alias(state), order_key(seed, key).alias(order),
+        (F.octet_length(text) + 8).cast("long").alias(size), F.crc32(text.cast("binary")).alias(crc), jumps(key, shards).alias(state), order_key(seed, key, F.crc32(text.cast("binary"))).alias(order),
     ).withColumn(part, bucket(order, bits)).withColumn(at, F.col(state)["at"].cast("int"))
     totals = rows.groupBy(F.col(at).alias("shard"), F.col(part).alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
     offsets = scratch.cut(bucket_offsets(totals, ["shard"], "n").select(F.col("shard").alias(own), F.col("_bucket").alias(own_part), F.col("_offset").alias(ahead)))
