@@ -318,12 +318,23 @@ def i17_front_in_order(spark, sf):
     return out.select("component", "j", "i", F.row_number().over(Window.partitionBy("component").orderBy("d", "j", "i")).alias("place"))
 
 
-@query(None)
+def _filled(n: int) -> str:
+    """The SQL of round n: a null cell takes the mean of its valid neighbours."""
+    side = lambda dj, di, name: f"LEFT JOIN r{n - 1} {name} ON {name}.j = c.j + {dj} AND {name}.i = c.i + {di}"
+    count = " + ".join(f"CASE WHEN {s}.x IS NULL THEN 0 ELSE 1 END" for s in "wesn")
+    total = " + ".join(f"coalesce({s}.x, 0)" for s in "wesn")
+    sides = " ".join(side(*x) for x in ((0, -1, "w"), (0, 1, "e"), (-1, 0, "s"), (1, 0, "n")))
+    return f"r{n} AS (SELECT c.j, c.i, coalesce(c.x, ({total}) / nullif({count}, 0)) AS x FROM r{n - 1} c {sides})"
+
+
+@query(f""", m AS (SELECT j, i, avg(x) AS x FROM cells_xy GROUP BY 1, 2), r0 AS (SELECT g.j, g.i, CASE WHEN NOT (is_ice OR i BETWEEN 7 AND 14 AND j BETWEEN 2 AND 8) THEN x END AS x FROM grid g LEFT JOIN m USING (j, i)),
+{", ".join(_filled(n) for n in range(1, 7))} SELECT j, i, round(x, 8) AS x FROM r6""")
 def j2_discard_and_fill(spark, sf):
-    """Ice columns discarded, then filled from around until none is missing (rounds of neighbour means: no SQL; tested by brute force)."""
+    """Ice columns and a block discarded, then filled from around until none is missing."""
     g = V.grid_xy(spark, sf)
-    f = V.cells_xy(spark, sf).groupBy("j", "i").agg(F.avg("x").alias("x")).withColumn("all", F.lit(0))
-    own = g.select("j", "i", "is_ice").join(f, ["j", "i"], "left").select(F.lit(0).alias("all"), "j", "i", F.when(~F.col("is_ice"), F.col("x")).alias("x"))
+    f = V.cells_xy(spark, sf).groupBy("j", "i").agg(F.avg("x").alias("x"))
+    discard = F.col("is_ice") | (F.col("i").between(7, 14) & F.col("j").between(2, 8))
+    own = g.select("j", "i", "is_ice").join(f, ["j", "i"], "left").select(F.lit(0).alias("all"), "j", "i", F.when(~discard, F.col("x")).alias("x"))
     return rounded(fill.fill_all(own, ["all"], "x", cutter(spark)).select("j", "i", "x"), "x", n=8)
 
 
