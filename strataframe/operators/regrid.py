@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,20 +42,51 @@ def bracket(targets: DataFrame, axis: DataFrame, target: str, coord: str, index:
 
 
 def bilinear_weights(targets: DataFrame, grid: DataFrame, keys: list[str], lon: str = "lon", lat: str = "lat", period: float | None = None) -> DataFrame:
-    """(keys, j, i, w) for targets on a regular grid with columns j, i, lon, lat."""
-    along = bracket(targets.select(*keys, lon), grid.select("i", F.col("lon").alias("_g")).distinct(), lon, "_g", "i", period).withColumnRenamed("w", "_wi").drop(lon)
-    across = bracket(targets.select(*keys, lat), grid.select("j", F.col("lat").alias("_g")).distinct(), lat, "_g", "j").withColumnRenamed("w", "_wj").drop(lat)
-    return along.join(across, keys).select(*keys, "j", "i", (F.col("_wi") * F.col("_wj")).alias("w"))
+    """(keys, j, i, w) for targets on a regular grid with columns j, i, lon, lat; one axis after the other, so that no target is joined with itself."""
+    along = bracket(targets.select(*keys, lon, lat), grid.select("i", F.col("lon").alias("_g")).distinct(), lon, "_g", "i", period).withColumnRenamed("w", "_wi")
+    both = bracket(along, grid.select("j", F.col("lat").alias("_g")).distinct(), lat, "_g", "j")
+    return both.select(*keys, "j", "i", (F.col("_wi") * F.col("w")).alias("w"))
+
+
+def gather(field: DataFrame, weights: DataFrame, target: list[str], source: list[str], values: list[str], over: list[str]) -> DataFrame:
+    """(over, target, _w, _hit): the weights of a target, and the rows of the field at its sources as structs (_n, values), ``_n`` being the place in ``_w``.
+
+    Weights are grouped by target before they meet the field, and the field is
+    gathered once for each set of sources, however many targets share it. So
+    the join makes the rows of the result and none of them are aggregated;
+    :func:`sums` works inside a row. The sources of one target must fit into a
+    row, and so must the field's rows there at one key of ``over``.
+    """
+    known = functools.reduce(lambda a, c: a & F.col(c).isNotNull(), target, F.col("w") > 0)
+    own = weights.where(known).groupBy(*target).agg(F.array_sort(F.collect_list(F.struct(*source, "w"))).alias("_s"))
+    own = own.select(*target, F.transform("_s", lambda s: F.struct(*[s[c].alias(c) for c in source])).alias("_at"), F.transform("_s", lambda s: s["w"]).alias("_w"))
+    at = own.select("_at").distinct().select("_at", F.posexplode("_at").alias("_n", "_c")).select("_at", "_n", "_c.*")
+    there = at.join(field.select(*over, *source, *values), source).groupBy("_at", *over).agg(F.array_sort(F.collect_list(F.struct("_n", *values))).alias("_hit"))
+    return own.join(there, "_at").select(*over, *target, "_w", "_hit")
+
+
+def sums(gathered: DataFrame, keep: list[str | Column], terms: dict[str, Callable[[Column, Column], Column]], kind: str = "double") -> DataFrame:
+    """``keep`` and the sums of ``term(hit, its weight)`` over the hits of :func:`gather`; like SQL's they skip nulls and are null without others.
+
+    ``inline`` keeps later filters from computing the sums again.
+    """
+
+    def add(a: Column, h: Column) -> Column:
+        w = F.get("_w", h["_n"])
+        one = {name: term(h, w).cast(kind) for name, term in terms.items()}
+        return F.struct(*[F.coalesce((a[name] + x).cast(kind), a[name], x).alias(name) for name, x in one.items()])
+
+    start = F.struct(*[F.lit(None).cast(kind).alias(name) for name in terms])
+    return gathered.select(*keep, F.inline(F.array(F.aggregate("_hit", start, add))))
 
 
 def apply_weights(field: DataFrame, weights: DataFrame, target: list[str], source: list[str], values: list[str], over: list[str], whole: bool = True) -> DataFrame:
     """Weighted sums by (over, target). ``whole``: null unless all sources with weight are there; else a mean of those that are."""
-    w = weights.where("w > 0").withColumnRenamed("w", "_w")
-    total = w.groupBy(*target).agg(F.sum("_w").alias("_all"))
-    hit = field.select(*over, *source, *values).join(w, source).groupBy(*over, *target).agg(
-        *[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values], *[F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).alias(f"_w_{v}") for v in values]
-    )
-    hit = hit.join(total, target)
+    total = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w).alias("_all")
+    terms = {}
+    for v in values:
+        terms |= {v: lambda h, w, v=v: h[v] * w, f"_w_{v}": lambda h, w, v=v: F.when(h[v].isNotNull(), w)}
+    hit = sums(gather(field, weights, target, source, values, over), [*over, *target, total], terms)
     return hit.select(*over, *target, *[(F.when(F.abs(F.col(f"_w_{v}") - F.col("_all")) < 1e-9, F.col(v)) if whole else F.col(v) / F.col(f"_w_{v}")).alias(v) for v in values])
 
 

@@ -254,12 +254,14 @@ def i11_regrid_with_mask(spark, sf):
 SELECT t, c_custkey, round(CAST(sum(CAST(x * w * wk AS DECIMAL(30, 12))) AS DOUBLE) / CAST(sum(CAST(w * wk AS DECIMAL(30, 12))) AS DOUBLE), 6) AS x, round(CAST(sum(CAST(w * wk AS DECIMAL(30, 12))) AS DOUBLE), 6) AS weight FROM wts JOIN f USING (j, i) GROUP BY 1, 2 HAVING CAST(sum(CAST(w * wk AS DECIMAL(30, 12))) AS DOUBLE) >= 0.3""")
 def i12_weight_threshold(spark, sf):
     """Sums of value times weight over sums of weight, in three dimensions, where enough weight is there; summed in fixed decimals, so that order does not matter."""
-    f = V.cells(spark, sf).select("t", "j", "i", "k", "x")
     levels = V.levels(spark, sf).select("k", F.col("z").alias("g"))
     wk = regrid.bracket(levels.limit(1).select(F.lit(-95.0).alias("z")), levels, "z", "g", "k").select("k", F.col("w").alias("wk"))
-    own = f.join(_weights(spark, sf), ["j", "i"]).join(F.broadcast(wk), "k").withColumn("w", F.col("w") * F.col("wk"))
-    exact = lambda c: F.sum(c.cast("decimal(30,12)")).cast("double")
-    out = own.groupBy("t", "c_custkey").agg((exact(F.col("x") * F.col("w")) / exact(F.col("w"))).alias("x"), exact(F.col("w")).alias("weight")).where("weight >= 0.3")
+    f = V.cells(spark, sf).select("t", "j", "i", "k", "x").join(F.broadcast(wk), "k")
+    own = regrid.gather(f, _weights(spark, sf), ["c_custkey"], ["j", "i"], ["x", "wk"], ["t"])
+    exact = lambda c: c.cast("decimal(30,12)")
+    both = regrid.sums(own, ["t", "c_custkey"], {"xw": lambda h, w: exact(h["x"] * w * h["wk"]), "w": lambda h, w: exact(w * h["wk"])}, "decimal(34,12)")
+    weight = F.col("w").cast("double")
+    out = both.select("t", "c_custkey", (F.col("xw").cast("double") / weight).alias("x"), weight.alias("weight")).where("weight >= 0.3")
     return rounded(out, "x", "weight")
 
 

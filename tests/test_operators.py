@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import struct
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import expr as X
 from strataframe.operators import agg, binning, boundary, calendar, columns, fill, graph, joins, regrid, stats, stencil
-from strataframe.plans import diagnostics
+from strataframe.plans import diagnostics, further
 from strataframe.plans.cuts import cutter
 from strataframe.sources import ingest
 from strataframe.streaming import incremental
@@ -120,6 +121,52 @@ def test_regridding_with_identity_weights_is_identity(dense):
     assert regrid.bilinear_weights(outside, grid, ["id"]).count() == 0
 
 
+def _most_aggregated(df):
+    """Most rows that one aggregate of a query has put out, once it has run without adaptive plans."""
+
+    def walk(node):
+        yield node
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k))
+
+    own = [n for n in walk(df._jdf.queryExecution().executedPlan()) if "Aggregate" in n.nodeName()]
+    return max(n.metrics().get("numOutputRows").get().value() for n in own)
+
+
+def test_weighted_sums_aggregate_the_field_and_not_the_result(spark, dense):
+    grid = dense.select("j", "i", (F.col("i") * 10.0).alias("lon"), (F.col("j") * 2.0).alias("lat")).distinct()
+    targets = spark.range(500).select("id", ((F.col("id") * 7) % 50 + 0.25).alias("lon"), ((F.col("id") * 3) % 8 + 0.25).alias("lat"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = regrid.apply_weights(dense, regrid.bilinear_weights(targets, grid, ["id"]), ["id"], ["j", "i"], ["x"], ["t", "k"])
+        rows = out.collect()
+        assert len(rows) == 500 * 96 and _most_aggregated(out) < len(rows) / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    at = {r.id: (r.lon, r.lat) for r in targets.collect()}
+    month = lambda t: (t.year - 1999) * 12 + t.month - 1
+    assert all(abs(r.x - (1 + 0.2 * at[r.id][0] + 1.5 * at[r.id][1] + 5 * r.k + 7 * month(r.t))) < 1e-9 for r in rows)
+
+
+def test_weighted_sums_skip_nulls_and_count_repeated_targets(spark):
+    field = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 1, None), (2, 0, 1, None), (None, 0, 0, 4.0)], "t int, j int, i int, x double")
+    w = spark.createDataFrame([(7, 0, 0, 0.25), (7, 0, 1, 0.75), (None, 0, 0, 1.0), (8, 0, 0, 0.5), (8, 0, 0, 0.5), (9, 0, 1, 0.0)], "id int, j int, i int, w double")
+    got = lambda whole: {(r.t, r.id): r.x for r in regrid.apply_weights(field, w, ["id"], ["j", "i"], ["x"], ["t"], whole).collect()}
+    assert got(True) == {(1, 7): None, (2, 7): None, (None, 7): None, (1, 8): 2.0, (None, 8): 4.0}
+    assert got(False) == {(1, 7): 2.0, (2, 7): None, (None, 7): 4.0, (1, 8): 2.0, (None, 8): 4.0}
+    both = regrid.sums(regrid.gather(field, w, ["id"], ["j", "i"], ["x"], ["t"]), ["t", "id"], {"x": lambda h, w: h["x"] * w, "w": lambda h, w: w}, "decimal(34,12)")
+    assert {(r.t, r.id): (r.x and float(r.x), float(r.w)) for r in both.where("id = 7").collect()} == {(1, 7): (0.5, 1.0), (2, 7): (None, 0.75), (None, 7): (1.0, 0.25)}
+    grid = spark.createDataFrame([(j, i, 10.0 * i, 10.0 * j) for j in range(2) for i in range(2)], "j int, i int, lon double, lat double")
+    twice = spark.createDataFrame([(1, 2.5, 5.0), (1, 2.5, 5.0)], "id int, lon double, lat double")
+    assert sorted(r.w for r in regrid.bilinear_weights(twice, grid, ["id"]).collect()) == [0.125] * 4 + [0.375] * 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_weight_threshold_aggregates_before_the_points_fan_out(spark):
+    plan = further.i12_weight_threshold(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
 def test_transect_is_whole(dense):
     grid = dense.select("j", "i", (F.col("i") * 1.0).alias("lon"), (F.col("j") * 1.0).alias("lat")).distinct()
     rows = regrid.transect(grid, (-0.25, 0.0), (5.25, 4.0), 1.0, 1.0).orderBy("n").collect()
